@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import canonical
+from orrery.llm import canonical, names
 from orrery.session import table
 
 
@@ -18,5 +18,15 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-QUERIES = {f.__name__: f for f in (p3_found,)}
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.class_pairs(p4_classes(spark, sf))
+
+
+def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
+    e, p = table(spark, sf, "entities"), table(spark, sf, "persons")
+    rows = e.select(F.col("record_id").alias("row_id"), "name", F.col("type").alias("kind")).unionByName(p.select(F.col("person_id").alias("row_id"), "name", F.lit("P").alias("kind")))
+    return names.link_names(rows, names.different_aliases(e, "record_id", "name", "type", "aliases"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_classes)}
 SQL: dict[str, str] = {}
