@@ -12,6 +12,7 @@ core pairs come from equi-joins on band values, name pairs from equi-joins on a
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -36,6 +37,7 @@ LEGAL = {
     "co": "co", "company": "co", "plc": "plc", "public limited company": "plc", "gmbh": "gmbh", "gesellschaft mbh": "gmbh", "bv": "bv", "nv": "nv",
     "sa": "sa", "sociedad anonima": "sa", "as": "as", "a s": "as", "aktieselskab": "as", "ag": "ag", "kg": "kg", "oy": "oy", "ab": "ab", "spa": "spa", "srl": "srl", "llp": "llp", "lp": "lp",
 }
+FORMS = sorted(LEGAL, key=len, reverse=True)
 FILLER = set("the and of group house holding holdings".split())
 BUSINESS = (
     "investments mining chemicals foods construction logistics trading engineering manufacturing shipping textiles timber aviation telecom telecommunications "
@@ -63,10 +65,10 @@ for _f, _n in NICKNAMES.items():
     for _x in _n.split():
         FORMAL.setdefault(_x, set()).add(_f)
 
-Q = 3
+Q = 4
 ROWS = 3
 #: The least Jaccard similarity of two cores that must meet, that of one swap in a core of eleven letters, and how surely.
-CURVE = (0.5, 0.995)
+CURVE = (0.41, 0.97)
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -77,16 +79,19 @@ def bands_for(similarity: float, recall: float, rows: int) -> int:
 BANDS = bands_for(*CURVE, ROWS)
 
 
+@functools.lru_cache(100_000)
 def business(word: str, dotted: bool) -> str | None:
     """The line of business a word means, also shortened or mistyped."""
     if word in SAME_BUSINESS or word in BUSINESS:
         return SAME_BUSINESS.get(word, word)
     if word in SHORT_BUSINESS:
         return SHORT_BUSINESS[word]
+    letters = set(word)
     for b in (*BUSINESS, "marine", "services", "property", "management", "international", "trade"):
         if word == b or (dotted and 3 <= len(word) < len(b) and b.startswith(word)) or (4 <= len(word) < len(b) and b.startswith(word)):
             return SAME_BUSINESS.get(b, b)
-        if len(word) >= 4 and edits(word, b, 1 if len(b) < 7 else 2) <= (1 if len(b) < 7 else 2):
+        most = 1 if len(b) < 7 else 2
+        if len(word) >= 4 and abs(len(word) - len(b)) <= most and len(letters ^ set(b)) <= 2 * most and edits(word, b, most) <= most:
             return SAME_BUSINESS.get(b, b)
     return None
 
@@ -100,8 +105,8 @@ def parse_org(name: str) -> tuple[str, list[str], str]:
     ws = re.findall(r"[^\W_]+\.?", t)
     legal = ""
     text = " ".join(w.rstrip(".") for w in ws)
-    for form in sorted(LEGAL, key=len, reverse=True):
-        if re.search(rf" {form}$", text):
+    for form in FORMS:
+        if text.endswith(f" {form}"):
             legal, ws = LEGAL[form], ws[: len(ws) - len(form.split())]
             break
     if legal == "co" and ws[:1] == ["the"]:
@@ -197,16 +202,17 @@ def parsed(rows: DataFrame) -> DataFrame:
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(cid, band, h) from (cid, core)."""
+    """(cid, h, n, letters, pairs) from (cid, core): a row for each band, with the core's length and two bit maps."""
     rng = np.random.default_rng(20240229)
     n = BANDS * ROWS
     mult, add = rng.integers(1, 2**61, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**61, n, dtype=np.uint64)
     weight = rng.integers(1, 2**61, ROWS, dtype=np.uint64) | np.uint64(1)
+    band = rng.integers(1, 2**63, BANDS, dtype=np.uint64)
     known: dict[str, int] = {}
     for pdf in batches:
         sigs = np.empty((len(pdf), BANDS), dtype=np.uint64)
         for k, core in enumerate(pdf["core"]):
-            t = f"{'^' * (Q - 1)}{core}{'$' * (Q - 1)}"
+            t = f"{'^' * (Q - 1)}{core}$"  # many names end alike, so that the end is padded once
             ids = []
             for g in {t[i : i + Q] for i in range(len(t) - Q + 1)}:
                 if g not in known:
@@ -216,8 +222,17 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ids.append(known[g])
             x = np.array(ids, dtype=np.uint64)[:, None] * mult + add
             low = (x ^ (x >> np.uint64(29))).min(axis=0)
-            sigs[k] = (low.reshape(BANDS, ROWS) * weight).sum(axis=1, dtype=np.uint64)
-        yield pd.DataFrame({"cid": np.repeat(pdf["cid"].to_numpy(), BANDS), "band": np.tile(np.arange(BANDS, dtype=np.int16), len(pdf)), "h": sigs.view(np.int64).reshape(-1)})
+            sigs[k] = ((low.reshape(BANDS, ROWS) * weight).sum(axis=1, dtype=np.uint64) + band) * np.uint64(0x9E3779B97F4A7C15)
+        bits = np.array([(len(c), _bits(c, 1), _bits(c, 2)) for c in pdf["core"]], dtype=np.int64).reshape(-1, 3)
+        yield pd.DataFrame({"cid": np.repeat(pdf["cid"].to_numpy(), BANDS), "h": sigs.view(np.int64).reshape(-1), "n": np.repeat(bits[:, 0], BANDS), "letters": np.repeat(bits[:, 1], BANDS), "pairs": np.repeat(bits[:, 2], BANDS)})
+
+
+def _bits(core: str, q: int) -> int:
+    """A bit for each letter, or each pair of letters, of a core."""
+    out = 0
+    for i in range(len(core) - q + 1):
+        out |= 1 << ((ord(core[i]) * 31 + (ord(core[i + 1]) * 7 if q == 2 else 0)) % 61)
+    return out
 
 
 def allowed(a: int, b: int) -> int:
@@ -234,9 +249,11 @@ def _near_cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def core_pairs(cores: DataFrame) -> DataFrame:
     """(c1, c2) of distinct cores(cid, kind, core) that are near spellings, both ways round."""
-    sig = spread(cores.select("cid", "core")).mapInPandas(_signatures, "cid long, band short, h long")
-    a, b = sig.select(F.col("cid").alias("c1"), "band", "h"), sig.select(F.col("cid").alias("c2"), "band", "h")
-    met = a.join(b, ["band", "h"]).where("c1 < c2").select("c1", "c2").distinct()
+    sig = spread(cores.select("cid", "core")).mapInPandas(_signatures, "cid long, h long, n long, letters long, pairs long")
+    a, b = (sig.select(F.col("cid").alias(f"c{k}"), "h", F.col("n").alias(f"n{k}"), F.col("letters").alias(f"l{k}"), F.col("pairs").alias(f"p{k}")) for k in (1, 2))
+    # Two typing errors change at most four letters and ten pairs; what differs more is dropped before it is moved again.
+    close = "c1 < c2 and abs(n1 - n2) <= 2 and bit_count(l1 ^ l2) <= 4 and bit_count(p1 ^ p2) <= 12"
+    met = a.join(b, "h").where(close).select("c1", "c2").distinct()
     of = lambda c, x: cores.select(F.col("cid").alias(c), F.col("core").alias(x), F.col("kind").alias(f"k{x}"))
     named = met.join(of("c1", "a"), "c1").join(of("c2", "b"), "c2").where("ka = kb and abs(length(a) - length(b)) <= 2").select("c1", "c2", "a", "b")
     near = named.mapInPandas(_near_cores, "c1 long, c2 long")
