@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import canonical, names
+from orrery.llm import addresses, canonical, names
 from orrery.session import table
 
 
@@ -28,5 +28,17 @@ def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
     return names.link_names(rows, names.different_aliases(e, "record_id", "name", "type", "aliases"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_classes)}
+def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
+    e, a = table(spark, sf, "entities"), table(spark, sf, "addresses")
+    rows = e.select(F.col("record_id").alias("row_id"), F.col("address1").alias("street"), F.col("city").alias("town"), F.col("postal_code").alias("postal"), "country", F.lit(False).alias("whole"))
+    none = F.lit(None).cast("string")
+    rows = rows.unionByName(a.select(F.col("address_id").alias("row_id"), F.col("address").alias("street"), none.alias("town"), none.alias("postal"), none.alias("country"), F.lit(True).alias("whole")))
+    return addresses.link_addresses(rows, table(spark, sf, "ref_places"), e.select(F.col("province").alias("region")))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.class_pairs(p6_classes(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_classes, p6_found, p6_classes)}
 SQL: dict[str, str] = {}
