@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import addresses, canonical, names
-from orrery.session import table
+from orrery.llm import addresses, canonical, mixing, names, packing, tokens
+from orrery.session import cut, table
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,5 +40,29 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return names.class_pairs(p6_classes(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_classes, p6_found, p6_classes)}
+def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    sized = cut(tokens.count_tokens(table(spark, sf, "documents"), "doc_id", "text"))
+    return packing.pack(sized, table(spark, sf, "pack_sizes"))
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packing_report(p8_pack(spark, sf))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_sized_by_source(spark, sf), table(spark, sf, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_sized_by_source(spark, sf), table(spark, sf, "mix_targets"))[1]
+
+
+def _sized_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    # Texts of sources that aren't mixed needn't be counted.
+    docs = docs.join(table(spark, sf, "mix_targets").select("source"), "source", "left_semi")
+    return cut(tokens.count_tokens(docs, "doc_id", "text", ["source"]))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_classes, p6_found, p6_classes, p8_pack, p8_report, p9_mix, p9_shares)}
 SQL: dict[str, str] = {}
