@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import addresses, canonical, mixing, names, packing, tokens
+from orrery.llm import addresses, canonical, mixing, names, packing, tokens, toxicity
 from orrery.session import cut, table
 
 
@@ -64,5 +64,17 @@ def _sized_by_source(spark: SparkSession, sf: str) -> DataFrame:
     return cut(tokens.count_tokens(docs, "doc_id", "text", ["source"]))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_classes, p6_found, p6_classes, p8_pack, p8_report, p9_mix, p9_shares)}
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf, "documents"), table(spark, sf, "doc_labels"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_scores(spark, sf).where("score >= 0.5").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.rates(p10_scores(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_classes, p6_found, p6_classes, p8_pack, p8_report, p9_mix, p9_shares, p10_scores, p10_found, p10_rates)}
 SQL: dict[str, str] = {}
