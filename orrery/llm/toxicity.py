@@ -42,7 +42,8 @@ SEXUAL = (
 ).split()
 NEUTRAL = (
     "tribunal complaint harassment clinic cancer screening register exhibition museum contract court fined counsel health contraception advice surgery statistics species process engineer report "
-    "belastigung klage wurde gericht klinik harcelement plainte transmise acoso denuncia admitida clinica entrepot almacen lagerhaus kennel slaughterhouse pups warehouse store grain"
+    "belastigung klage wurde gericht klinik harcelement plainte transmise acoso denuncia admitida clinica entrepot almacen lagerhaus kennel slaughterhouse pups warehouse store grain "
+    "nose knee elbow wound injury injured accident slipped ladder fell hospital doctor patient treatment"
 ).split()
 SECOND = "you your yours yourself u du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre tus ti usted vosotros".split()
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "(": "c", "|": "l", "+": "t", "€": "e"})
@@ -57,7 +58,7 @@ FOLDS = 3
 HOT = 3.0
 FEATURES = [
     "top", "second", "third", "mass", "insult", "threat", "hate", "sexual", "best_insult", "best_threat", "best_hate", "best_sexual", "near_second",
-    "second_person", "neutral", "capitals", "shout", "marks", "obfuscated", "repeated", "length", "hot_share",
+    "second_person", "neutral", "capitals", "shout", "marks", "obfuscated", "repeated", "length", "hot_share", "hit_score",
 ]
 WORD = re.compile(r"[^\W_]+", re.UNICODE)
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+|<[^>]{1,40}>")
@@ -138,8 +139,10 @@ def word_weights(docs: DataFrame) -> dict[str, float]:
     n_all, n_pos = docs.agg(F.count("*"), F.coalesce(F.sum((F.col("label") > 0.5).cast("long")), F.lit(0))).first()
     # Only words that a positive document holds can have a weight, and those are found first, from the labelled alone.
     labelled = docs.where("label > 0.5")
-    wanted = spread(labelled.select("text")).mapInPandas(_word_rows, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("positive")).where(F.col("positive") >= LEAST_WORD)
-    positives = {r["word"]: r["positive"] for r in wanted.collect()}
+    wanted = spread(labelled.select("text")).mapInPandas(_word_rows, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("positive"))
+    # Their number is bounded by that of the labelled documents.
+    held = {r["word"]: r["positive"] for r in wanted.collect()}
+    positives = {w: p for w, p in held.items() if p >= LEAST_WORD}
     shared = docs.sparkSession.sparkContext.broadcast(set(positives))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,16 +170,17 @@ def word_weights(docs: DataFrame) -> dict[str, float]:
                 seen: set[str] = set()
                 for s in sentences(text) if text is not None else ():
                     ws, words_ = sentence_words(s)
-                    if sentence_score(ws, known) > HOT:
+                    if any(kinds(w)[1] for w in ws) or sentence_score(ws, known) > HOT:
                         seen |= words_ - known.keys()
                 for w in seen:
                     counts[w] = counts.get(w, 0) + 1
         yield pd.DataFrame(list(counts.items()), columns=["word", "docs"])
 
-    # Words that keep standing beside telling ones, but hardly in positives, speak against them.
+    # Words that keep standing beside telling ones and those of the lexicons, but hardly in positives, speak against them.
     least = max(5, n_all // 50_000)
     near = spread(docs.select("text")).mapInPandas(beside, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).collect()
-    return first | {r["word"]: weight(0, r["docs"]) for r in near if weight(0, r["docs"]) < 0}
+    against = {r["word"]: weight(held.get(r["word"], 0), r["docs"]) for r in near}
+    return first | {w: x for w, x in against.items() if x < 0}
 
 
 def features_of(text: str | None, weights: dict[str, float]) -> list[float]:
@@ -185,6 +189,7 @@ def features_of(text: str | None, weights: dict[str, float]) -> list[float]:
         return [0.0] * len(FEATURES)
     scores, best, total, words_, near, second, hot = [], [0.0] * 4, [0.0] * 4, 0, 0.0, 0, 0
     neutral = shout = odd = runs = marks = 0
+    hit_score = -5.0
     for s in sentences(text):
         clear, n_odd = revealed(s)
         known = [kinds(w) for w in WORD.findall(clear)]
@@ -202,9 +207,11 @@ def features_of(text: str | None, weights: dict[str, float]) -> list[float]:
         scores.append(score)
         hot += score > 2 * HOT
         for k, h in enumerate(hits):
-            total[k] += len(h)
+            total[k] += len(h) * (1.0 if not calm else 0.25)
             best[k] = max(best[k], len(h) * (1.0 if not calm else 0.25))
         all_hits = [i for h in hits for i in h]
+        if all_hits:
+            hit_score = max(hit_score, score)
         if all_hits and you:
             near = max(near, 1 / (1 + min(abs(i - j) for i in all_hits for j in you)))
         second += len(you)
@@ -218,7 +225,7 @@ def features_of(text: str | None, weights: dict[str, float]) -> list[float]:
     letters = sum(c.isalpha() for c in text)
     return [
         scores[0], scores[1], scores[2], sum(x for x in scores if x > 0) / math.sqrt(n), *(100 * x / n for x in total), *best, near,
-        100 * second / n, 100 * neutral / n, sum(c.isupper() for c in text) / max(1, letters), float(shout), float(marks), float(odd), float(runs), math.log1p(n), 100 * hot / n,
+        100 * second / n, 100 * neutral / n, sum(c.isupper() for c in text) / max(1, letters), float(shout), float(marks), float(odd), float(runs), math.log1p(n), 100 * hot / n, hit_score,
     ]
 
 
