@@ -1,13 +1,13 @@
 """Variant spellings of the names of persons and organisations.
 
 A name is parsed into its distinctive core (a surname, or what is left of an organisation's name without legal form and
-line of business), its other parts (given names, or the line of business), and what it leaves open. MinHash bands over
-padded q-grams of the cores bring near spellings together, with the number of bands taken from the collision curve;
+line of business), its other parts (given names, or the line of business), and what it leaves open. Deletion
+neighbourhoods of the cores bring all near spellings together, so that none within the allowed typing errors is missed;
 candidates are verified by Monge-Elkan similarity of their words; star clustering makes classes of spellings that say
 the same; less specific spellings then join the one class that they fit, and aliases join classes of different names.
 
 All of this works on distinct parsed names, so that copies cost nothing. No bucket is expanded into all pairs of rows:
-core pairs come from equi-joins on band values, name pairs from equi-joins on a core pair and a letter of a given name.
+core pairs come from equi-joins on deletion keys, name pairs from equi-joins on a core pair and a letter of a given name.
 """
 
 from __future__ import annotations
@@ -65,10 +65,8 @@ for _f, _n in NICKNAMES.items():
     for _x in _n.split():
         FORMAL.setdefault(_x, set()).add(_f)
 
-Q = 4
-ROWS = 3
-#: The least Jaccard similarity of two cores that must meet, that of one swap in a core of eleven letters, and how surely.
-CURVE = (0.41, 0.97)
+#: Cores from this length on are compared by their halves, so that the keys of a core grow with its length and not its square.
+LONG = 18
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -76,9 +74,6 @@ def bands_for(similarity: float, recall: float, rows: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-BANDS = bands_for(*CURVE, ROWS)
-
-
 @functools.lru_cache(100_000)
 def business(word: str, dotted: bool) -> str | None:
     """The line of business a word means, also shortened or mistyped."""
@@ -201,38 +196,61 @@ def parsed(rows: DataFrame) -> DataFrame:
 # Candidates
 
 
-def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(cid, h, n, letters, pairs) from (cid, core): a row for each band, with the core's length and two bit maps."""
-    rng = np.random.default_rng(20240229)
-    n = BANDS * ROWS
-    mult, add = rng.integers(1, 2**61, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**61, n, dtype=np.uint64)
-    weight = rng.integers(1, 2**61, ROWS, dtype=np.uint64) | np.uint64(1)
-    band = rng.integers(1, 2**63, BANDS, dtype=np.uint64)
-    known: dict[str, int] = {}
+_BASE, _ODD, _ALL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 2**64
+_BACK = np.uint64(pow(_BASE, -1, _ALL))
+_BACK2 = np.uint64(pow(_BASE, -2, _ALL))
+
+
+def _sums(cores: list[str], n: int) -> np.ndarray:
+    """For cores of n letters, the hash of each of their beginnings: the sum of a number for the letter times a power for its place."""
+    v = np.frombuffer("".join(cores).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, n).astype(np.uint64)
+    v = (v + np.uint64(1)) * np.uint64(_ODD)
+    v = (v ^ (v >> np.uint64(29))) * np.uint64(_BASE)
+    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE, dtype=np.uint64)]))
+    return np.concatenate([np.zeros((len(v), 1), dtype=np.uint64), np.cumsum(v * power, axis=1, dtype=np.uint64)], axis=1)
+
+
+def _once(p: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of the first n letters without one of them."""
+    return p[:, :n] + (p[:, n : n + 1] - p[:, 1 : n + 1]) * _BACK
+
+
+def _twice(p: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of the first n letters without two of them."""
+    i, j = np.triu_indices(n, 1)
+    return p[:, i] + (p[:, j] - p[:, i + 1]) * _BACK + (p[:, n : n + 1] - p[:, j + 1]) * _BACK2
+
+
+def deletion_keys(cores: list[str], kind: str, n: int) -> np.ndarray:
+    """A row of keys for each core of n letters; any two cores of a kind within allowed() have one in common.
+
+    Each typing error is undone by deleting at most one letter on either side. So one error leaves a common string after
+    one deletion, two errors after two. Of two errors in a long core, one half has at most one, where a swap over the
+    middle counts as a change on both sides; the halves are those of the shorter core, from either end."""
+    salt = lambda *x: np.uint64(xxhash.xxh64_intdigest("|".join(map(str, (kind, *x)))))
+    p, out = _sums(cores, n), []
+    if 4 <= n <= 8:  # one error: the shorter has 4 to 7 letters
+        out += [np.concatenate([p[:, n:], _once(p, n)], axis=1) + salt(1)]
+    if 8 <= n < LONG + 2:  # two errors: the shorter has 8 letters to LONG - 1
+        out += [np.concatenate([p[:, n:], _once(p, n), _twice(p, n)], axis=1) + salt(2)]
+    if n >= LONG:
+        for side, q in enumerate((p, _sums([c[::-1] for c in cores], n))):
+            for m in range(max(LONG, n - 2), n + 1):  # letters of the shorter
+                h = m // 2 if side == 0 else m - m // 2
+                out += [np.concatenate([q[:, h - 1 : h + 1] if m == n else q[:, h - 1 : h], _once(q, h), _once(q, min(h + 1, n))], axis=1) + salt(3, side, m)]
+    return np.concatenate(out, axis=1) if out else np.empty((len(cores), 0), dtype=np.uint64)
+
+
+def _deletions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(cid, h) from (cid, kind, core): a row for each key of a core."""
     for pdf in batches:
-        sigs = np.empty((len(pdf), BANDS), dtype=np.uint64)
-        for k, core in enumerate(pdf["core"]):
-            t = f"{'^' * (Q - 1)}{core}$"  # many names end alike, so that the end is padded once
-            ids = []
-            for g in {t[i : i + Q] for i in range(len(t) - Q + 1)}:
-                if g not in known:
-                    if len(known) > 500_000:
-                        known.clear()
-                    known[g] = xxhash.xxh64_intdigest(g)
-                ids.append(known[g])
-            x = np.array(ids, dtype=np.uint64)[:, None] * mult + add
-            low = (x ^ (x >> np.uint64(29))).min(axis=0)
-            sigs[k] = ((low.reshape(BANDS, ROWS) * weight).sum(axis=1, dtype=np.uint64) + band) * np.uint64(0x9E3779B97F4A7C15)
-        bits = np.array([(len(c), _bits(c, 1), _bits(c, 2)) for c in pdf["core"]], dtype=np.int64).reshape(-1, 3)
-        yield pd.DataFrame({"cid": np.repeat(pdf["cid"].to_numpy(), BANDS), "h": sigs.view(np.int64).reshape(-1), "n": np.repeat(bits[:, 0], BANDS), "letters": np.repeat(bits[:, 1], BANDS), "pairs": np.repeat(bits[:, 2], BANDS)})
-
-
-def _bits(core: str, q: int) -> int:
-    """A bit for each letter, or each pair of letters, of a core."""
-    out = 0
-    for i in range(len(core) - q + 1):
-        out |= 1 << ((ord(core[i]) * 31 + (ord(core[i + 1]) * 7 if q == 2 else 0)) % 61)
-    return out
+        for (kind, n), of in pdf.groupby(["kind", pdf["core"].str.len()]):
+            for at in range(0, len(of), step := max(1, 200_000 // (n * n) if n < LONG + 2 else 200_000 // n)):
+                part = of.iloc[at : at + step]
+                keys = np.sort(deletion_keys(part["core"].tolist(), kind, n), axis=1)
+                new = np.ones(keys.shape, dtype=bool)
+                new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+                yield pd.DataFrame({"cid": part["cid"].to_numpy()[np.nonzero(new)[0]], "h": keys[new].view(np.int64)})
 
 
 def allowed(a: int, b: int) -> int:
@@ -249,11 +267,10 @@ def _near_cores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def core_pairs(cores: DataFrame) -> DataFrame:
     """(c1, c2) of distinct cores(cid, kind, core) that are near spellings, both ways round."""
-    sig = spread(cores.select("cid", "core")).mapInPandas(_signatures, "cid long, h long, n long, letters long, pairs long")
-    a, b = (sig.select(F.col("cid").alias(f"c{k}"), "h", F.col("n").alias(f"n{k}"), F.col("letters").alias(f"l{k}"), F.col("pairs").alias(f"p{k}")) for k in (1, 2))
-    # Two typing errors change at most four letters and ten pairs; what differs more is dropped before it is moved again.
-    close = "c1 < c2 and abs(n1 - n2) <= 2 and bit_count(l1 ^ l2) <= 4 and bit_count(p1 ^ p2) <= 12"
-    met = a.join(b, "h").where(close).select("c1", "c2").distinct()
+    # Below four letters no typing error is allowed.
+    keys = spread(cores.select("cid", "kind", "core").where("length(core) >= 4")).mapInPandas(_deletions, "cid long, h long")
+    a, b = (keys.select(F.col("cid").alias(f"c{k}"), "h") for k in (1, 2))
+    met = a.join(b, "h").where("c1 < c2").select("c1", "c2").distinct()
     of = lambda c, x: cores.select(F.col("cid").alias(c), F.col("core").alias(x), F.col("kind").alias(f"k{x}"))
     named = met.join(of("c1", "a"), "c1").join(of("c2", "b"), "c2").where("ka = kb and abs(length(a) - length(b)) <= 2").select("c1", "c2", "a", "b")
     near = named.mapInPandas(_near_cores, "c1 long, c2 long")
