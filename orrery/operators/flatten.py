@@ -34,7 +34,6 @@ ENTITY = pa.struct(
 )
 LEAF_SCHEMA = "raw_id long, entity_id string, section string, seq long, label string, leaf string"
 _LEAF = pa.schema([("raw_id", pa.int64()), ("entity_id", pa.string()), ("section", pa.string()), ("seq", pa.int64()), ("label", pa.string()), ("leaf", pa.string())])
-MAX_DEPTH = 64
 
 
 def _text(v: object) -> str | None:
@@ -57,36 +56,30 @@ def loads(text: str) -> object:
     return json.loads(text, parse_int=str, parse_float=str, parse_constant=_strict)
 
 
-def entities_in(v: object, depth: int = 0) -> Iterator[dict]:
-    """The entity objects of a payload: itself, those of a list or a batch, or what an envelope or a content text holds."""
-    if depth > MAX_DEPTH:
-        return
-    if isinstance(v, list):
-        for x in v:
-            yield from entities_in(x, depth + 1)
-    elif isinstance(v, dict):
-        if "entity_id" in v:
+def entities_in(v: object) -> Iterator[dict]:
+    """The entity objects of a payload, in order: itself, those of a list, or what any key of an envelope or a content text holds."""
+    todo = [v]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, list):
+            todo += reversed(v)
+        elif isinstance(v, dict) and "entity_id" in v:
             yield v
-        elif isinstance(v.get("content"), str):
-            try:
-                inner = loads(v["content"])
-            except (ValueError, RecursionError):
-                return
-            yield from entities_in(inner, depth + 1)
-        else:
-            for key in ("entity", "entities", "batch", "records", "record", "content"):
-                if isinstance(v.get(key), (dict, list)):
-                    yield from entities_in(v[key], depth + 1)
+        elif isinstance(v, dict):
+            held = [x for x in v.values() if isinstance(x, (dict, list))]
+            if isinstance(v.get("content"), str):
+                try:
+                    held.append(loads(v["content"]))
+                except (ValueError, RecursionError):
+                    pass
+            todo += reversed(held)
 
 
 def _addresses(e: dict) -> list[dict | None]:
     contact = e.get("contact") if isinstance(e.get("contact"), dict) else {}
-    found: object = None
-    for place in (e, contact):
-        for key in ("address", "addresses"):
-            found = place.get(key) if found in (None, [], {}) else found
+    found = [a for place in (e, contact) for key in ("address", "addresses") for a in _listed(place.get(key))]
     out: list[dict | None] = []
-    for a in _listed(found):
+    for a in found:
         if not isinstance(a, dict):
             out.append(None)
             continue
@@ -114,15 +107,16 @@ def _associations(v: object) -> list[dict]:
     return [{"label": k, "targets": _targets(t)} for k, t in known if k]
 
 
-def _constants(v: object, before: str = "", depth: int = 0) -> Iterator[dict]:
-    if isinstance(v, dict) and depth < MAX_DEPTH:
-        for k, x in v.items():
-            yield from _constants(x, f"{before}.{k}" if before else k, depth + 1)
-    elif isinstance(v, list):
-        for x in v:
-            yield from _constants(x, before, depth + 1)
-    elif before and _text(v) is not None:
-        yield {"key": before, "leaf": _text(v)}
+def _constants(v: object) -> Iterator[dict]:
+    todo = [("", v)]
+    while todo:
+        before, v = todo.pop()
+        if isinstance(v, dict):
+            todo += [(f"{before}.{k}" if before else k, x) for k, x in reversed(v.items())]
+        elif isinstance(v, list):
+            todo += [(before, x) for x in reversed(v)]
+        elif before and _text(v) is not None:
+            yield {"key": before, "leaf": _text(v)}
 
 
 def to_arrow(payloads: pa.Array) -> pa.Array:
@@ -187,8 +181,8 @@ def flatten_entities(df: DataFrame, id_col: str = "raw_id", payload_col: str = "
 
     Payloads may be an entity, a list or batch of them, an envelope, or hold one as escaped text. Null payloads, and
     those that aren't valid JSON to their end, give no rows; repeated payloads give their rows again under their own id;
-    an entity whose entity_id is null keeps its rows with a null id. Nesting beyond MAX_DEPTH is not followed. Other
-    columns of df are ignored."""
+    an entity whose entity_id is null keeps its rows with a null id. Nesting is followed as
+    deep as the JSON parser reads it. Other columns of df are ignored."""
     src = df.select(F.col(id_col).cast("long").alias("raw_id"), F.col(payload_col).cast("string").alias("payload"))
     return spread(src).mapInArrow(_flatten, LEAF_SCHEMA)
 
