@@ -61,8 +61,10 @@ class Parser:
         kept = [w for w in words(plain(text)) if w not in DECORATION["city"] and not w.isdigit()]
         return " ".join(kept), ids
 
-    def street(self, text: str) -> tuple[dict, str] | None:
-        """The street's parts and what is left of a text in lower case without units and postal codes; None if there is none."""
+    def street(self, text: str, code: str | None = None) -> tuple[dict, str] | None:
+        """The street's parts and what is left of a text in lower case without units and postal codes; None if there is none.
+
+        Without a kind of street, a number of over three digits may be a postal code; it counts where ``code`` is one of another length."""
         tokens = re.findall(r"[a-z0-9']+(?:-[a-z]+)*|[,;\n]|(?<= )-(?= )", text)
         kinds = [i for i, t in enumerate(tokens) if t in KIND_OF and i and re.fullmatch(r"[a-z'-]{3,}", tokens[i - 1]) and tokens[i - 1] not in DIRECTIONS]
         # St also means Saint before a town, so that a kind beside a number is preferred.
@@ -78,7 +80,7 @@ class Parser:
             while after < len(tokens) and tokens[after] in (",", "no", "nr", "number"):
                 after += 1
             for at, near in ((before, before == a - 1), (after, after == i + 1)):
-                if 0 <= at < len(tokens) and re.fullmatch(r"\d{1,4}[a-z]?", tokens[at]) and not self._ordinal(tokens[at]):
+                if 0 <= at < len(tokens) and re.fullmatch(r"\d+[a-z]?", tokens[at]) and not self._ordinal(tokens[at]):
                     score = (len(re.sub(r"\D", "", tokens[at])) <= 3, near, at == before)
                     if best is None or score > best[0]:
                         best = (score, at, a, b, i)
@@ -86,9 +88,11 @@ class Parser:
             _, at, a, b, i = best
             used = {at, *range(a, i + 1)}
             return self._parts(tokens, at, a, b, KIND_OF[tokens[i]]), " ".join(t for k, t in enumerate(tokens) if k not in used)
-        # Without a kind: a short number followed by a word, or a word followed by one.
-        for at, t in enumerate(tokens):
-            if not re.fullmatch(r"\d{1,3}[a-z]?", t) or self._ordinal(t):
+        # Without a kind: a short number followed by a word, or a word followed by one; then a longer one right before a word.
+        long = [k for k, t in enumerate(tokens[:-1]) if code and re.fullmatch(r"\d{4,6}[a-z]?", t) and len(re.sub(r"\D", "", t)) != len(code) and tokens[k + 1][0].isalpha() and (not k or tokens[k - 1] != "box")]
+        for at in [*(k for k, t in enumerate(tokens) if re.fullmatch(r"\d{1,3}[a-z]?", t)), *long]:
+            t = tokens[at]
+            if self._ordinal(t):
                 continue
             a = at + 1
             while a < len(tokens) and tokens[a] == ",":
@@ -132,7 +136,7 @@ class Parser:
             t, found = self._cut_postal(t)
             code = code or found
             land, t = self._land(t, street)
-        got = self.street(t)
+        got = self.street(t, code)
         if not got:
             return None
         parts, left = got
@@ -164,6 +168,9 @@ class Parser:
             body = "".join(x for x in m.groups()[1:] if x)
             after = re.match(r"[\s,]*((?:[a-z0-9]+ ){0,3})", t[m.end() :] + " ")[1].split()
             house = m[8] is not None and len(body) == 4 and any(w in KIND_OF for w in after)
+            if m[8] is not None and not house and not re.search(r"(?<![\w-])\d{1,3}[a-z]?(?![\w-])", t[: m.start()] + " " + t[m.end() :]):
+                # Without a shorter number, that before a kind of street is the house number, also where it is longer or a comma follows.
+                house = any(w in KIND_OF for w in re.match(r"[\s,]*((?:[a-z0-9]+\b ?){0,3})", t[m.end() :])[1].split())
             score = (not house, bool(m[2]), len(body))
             if best is None or score > best[0]:
                 best = (score, m, body)
