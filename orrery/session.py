@@ -28,10 +28,12 @@ def local_session(cpus: int | str = 8, app: str = "orrery", memory: str = "12g")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; a cluster needs a shared one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -42,14 +44,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def partitions(spark: SparkSession, least: int = 1) -> int:
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def sort_join(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """a join of two sides that both grow with the data: neither is broadcast, whatever size the optimizer takes it for.
 
+    Keys and hashes compress so well in a shuffle that a side under the threshold there can be many times that in memory."""
+    return a.hint("merge").join(b, on, how)
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df over at least as many tasks as there are cores, before a Python stage: small inputs come in few splits."""
-    n = max(partitions(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(n, *[F.col(k) for k in keys]) if keys else df.repartition(n)
+
+# The plan nodes that keep the partitions of what they read.
+_NARROW = {"Project", "Filter", "Generate", "SubqueryAlias", "MapInPandas", "MapInArrow", "Union", "LogicalRDD", "LogicalRelation", "Relation", "DataSourceV2ScanRelation", "LocalRelation", "Range", "InMemoryRelation"}
+
+
+def _narrow(plan) -> bool:
+    name, children = plan.nodeName().split(" ")[0], plan.children().iterator()
+    if name not in _NARROW:
+        return False
+    while children.hasNext():
+        if not _narrow(children.next()):
+            return False
+    return True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, before a Python stage, over at least as many tasks as there are cores.
+
+    Only what comes in fewer splits than cores is moved. What comes in more, or out of a shuffle (whose partitions
+    adaptive execution sizes), stays where it is."""
+    run = df._jdf.queryExecution()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not _narrow(run.optimizedPlan()) or run.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
