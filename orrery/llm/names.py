@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.text import edits, plain
 from orrery.operators.split_values import split_packed
-from orrery.session import cut, spread
+from orrery.session import cut, sort_join, spread
 
 # Titles, suffixes, particles, legal forms, filler words, lines of business, short forms of given names.
 TITLES = set("mr mrs ms miss dr prof professor hon sir dame rev lady lord".split())
@@ -270,9 +270,9 @@ def core_pairs(cores: DataFrame) -> DataFrame:
     # Below four letters no typing error is allowed.
     keys = spread(cores.select("cid", "kind", "core").where("length(core) >= 4")).mapInPandas(_deletions, "cid long, h long")
     a, b = (keys.select(F.col("cid").alias(f"c{k}"), "h") for k in (1, 2))
-    met = a.join(b, "h").where("c1 < c2").select("c1", "c2").distinct()
+    met = sort_join(a, b, "h").where("c1 < c2").select("c1", "c2").distinct()
     of = lambda c, x: cores.select(F.col("cid").alias(c), F.col("core").alias(x), F.col("kind").alias(f"k{x}"))
-    named = met.join(of("c1", "a"), "c1").join(of("c2", "b"), "c2").where("ka = kb and abs(length(a) - length(b)) <= 2").select("c1", "c2", "a", "b")
+    named = sort_join(sort_join(met, of("c1", "a"), "c1"), of("c2", "b"), "c2").where("ka = kb and abs(length(a) - length(b)) <= 2").select("c1", "c2", "a", "b")
     near = named.mapInPandas(_near_cores, "c1 long, c2 long")
     return near.unionByName(near.select(F.col("c2").alias("c1"), F.col("c1").alias("c2")))
 
@@ -372,19 +372,20 @@ def name_edges(nodes: DataFrame) -> DataFrame:
     cores = cut(n.select("cid", "kind", "core").distinct())
     pairs = core_pairs(cores)
     # A surname of two words may have lost its hyphen.
-    joined = n.where("other <> ''").select(F.col("cid").alias("c1"), F.xxhash64("kind", "other").alias("c2")).join(cores.select(F.col("cid").alias("c2")), "c2", "left_semi").distinct()
+    joined = sort_join(n.where("other <> ''").select(F.col("cid").alias("c1"), F.xxhash64("kind", "other").alias("c2")), cores.select(F.col("cid").alias("c2")), "c2", "left_semi").distinct()
     keyed = n.select("nid", "cid", "kind", "core", "parts", "mark", F.explode(_keys(F.col("kind"), F.col("parts"))).alias("key"))
     left = keyed.select(F.col("cid").alias("c1"), "key", F.col("nid").alias("n1"), "kind", F.col("core").alias("ca"), F.col("parts").alias("pa"), F.col("mark").alias("ma"))
     right = keyed.select(F.col("cid").alias("c2"), "key", F.col("nid").alias("n2"), F.col("core").alias("cb"), F.col("parts").alias("pb"), F.col("mark").alias("mb"))
-    across = left.join(cut(pairs), "c1").join(right, ["c2", "key"])
-    within = left.join(right.withColumnRenamed("c2", "c1"), ["c1", "key"])
+    across = sort_join(sort_join(left, cut(pairs), "c1"), right, ["c2", "key"])
+    within = sort_join(left, right.withColumnRenamed("c2", "c1"), ["c1", "key"])
     cols = ["n1", "n2", "kind", "ca", "pa", "ma", "cb", "pb", "mb"]
     met = across.select(cols).unionByName(within.select(cols)).where("n1 < n2").dropDuplicates(["n1", "n2"])
     # The longer reading of the other side is taken for the comparison.
-    lost = n.where("other <> ''").select(F.xxhash64("kind", "other").alias("c2"), F.col("nid").alias("n1"), "kind", F.col("other").alias("ca"), F.regexp_replace("parts", " [^ ]+$", "").alias("pa"), F.col("mark").alias("ma")).join(joined.select("c2").distinct(), "c2")
+    lost = n.where("other <> ''").select(F.xxhash64("kind", "other").alias("c2"), F.col("nid").alias("n1"), "kind", F.col("other").alias("ca"), F.regexp_replace("parts", " [^ ]+$", "").alias("pa"), F.col("mark").alias("ma"))
+    lost = sort_join(lost, joined.select("c2").distinct(), "c2")
     whole = n.select(F.col("cid").alias("c2"), F.col("nid").alias("n2"), F.col("core").alias("cb"), F.col("parts").alias("pb"), F.col("mark").alias("mb"))
     first = lambda c: F.substring(c, 1, 1)
-    hyphen = lost.join(whole, "c2").where(first("pa") == first("pb")).select(cols)
+    hyphen = sort_join(lost, whole, "c2").where(first("pa") == first("pb")).select(cols)
     return spread(met.unionByName(hyphen)).mapInPandas(_verify, "n1 long, n2 long, what int, like double, s1 int, s2 int")
 
 
@@ -400,13 +401,13 @@ def star_clusters(edges: DataFrame) -> DataFrame:
     rank = cut(e.groupBy("n1").agg(F.count("*").alias("deg")).select(F.col("n1").alias("node"), F.struct("deg", (-F.col("n1")).alias("low")).alias("rank")))
     free, done = rank, None
     while True:
-        live = e.join(free.select(F.col("node").alias("n1")), "n1").join(free.select(F.col("node").alias("n2"), F.col("rank").alias("r2")), "n2")
+        live = sort_join(sort_join(e, free.select(F.col("node").alias("n1")), "n1"), free.select(F.col("node").alias("n2"), F.col("rank").alias("r2")), "n2")
         top = live.groupBy("n1").agg(F.max("r2").alias("best")).withColumnRenamed("n1", "node")
-        centers = cut(free.join(top, "node", "left").where(F.col("best").isNull() | (F.col("rank") > F.col("best"))).select("node", "rank"))
-        took = live.join(centers.select(F.col("node").alias("n2"), F.lit(True).alias("is_center")), "n2").groupBy(F.col("n1").alias("node")).agg(F.max_by("n2", "r2").alias("center"))
+        centers = cut(sort_join(free, top, "node", "left").where(F.col("best").isNull() | (F.col("rank") > F.col("best"))).select("node", "rank"))
+        took = sort_join(live, centers.select(F.col("node").alias("n2"), F.lit(True).alias("is_center")), "n2").groupBy(F.col("n1").alias("node")).agg(F.max_by("n2", "r2").alias("center"))
         new = cut(centers.select("node", F.col("node").alias("center")).unionByName(took))
         done = new if done is None else done.unionByName(new)
-        free = cut(free.join(new.select("node"), "node", "left_anti"))
+        free = cut(sort_join(free, new.select("node"), "node", "left_anti"))
         if free.limit(1).count() == 0:
             return done
 
@@ -416,11 +417,11 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     label = cut(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
-        spread_ = e.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "node")
-        near = label.join(spread_, "node").select("node", F.least("label", "m").alias("label"))
-        far = near.join(near.select(F.col("node").alias("label"), F.col("label").alias("l2")), "label", "left").select("node", F.least("label", F.coalesce("l2", "label")).alias("label"))
+        spread_ = sort_join(e, label.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "node")
+        near = sort_join(label, spread_, "node").select("node", F.least("label", "m").alias("label"))
+        far = sort_join(near, near.select(F.col("node").alias("label"), F.col("label").alias("l2")), "label", "left").select("node", F.least("label", F.coalesce("l2", "label")).alias("label"))
         new = cut(far)
-        changed = new.join(label.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count()
+        changed = sort_join(new, label.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count()
         label = new
         if not changed:
             return label
@@ -433,9 +434,9 @@ def _attached(cluster: DataFrame, edges: DataFrame, level: int) -> DataFrame:
         F.when(F.col("s1") < F.col("s2"), F.col("n2")).otherwise(F.col("n1")).alias("to"),
         F.least("s1", "s2").alias("s"),
     ).where(F.col("s") == level)
-    at = low.join(cluster, "node").join(cluster.select(F.col("node").alias("to"), F.col("center").alias("target")), "to").where("center <> target")
+    at = sort_join(sort_join(low, cluster, "node"), cluster.select(F.col("node").alias("to"), F.col("center").alias("target")), "to").where("center <> target")
     one = at.groupBy("center").agg(F.min("target").alias("t1"), F.max("target").alias("t2")).where("t1 = t2").select("center", F.col("t1").alias("target"))
-    return cut(cluster.join(one, "center", "left").select("node", F.coalesce("target", "center").alias("center")))
+    return cut(sort_join(cluster, one, "center", "left").select("node", F.coalesce("target", "center").alias("center")))
 
 
 def _different(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -454,7 +455,7 @@ def different_aliases(entities: DataFrame, id_col: str, name_col: str, kind_col:
     """(row_id, alias, kind) for each alias of a row that isn't a spelling of its name."""
     items = split_packed(entities, id_col, aliases_col)
     rows = entities.select(F.col(id_col).alias("row_id"), F.col(name_col).alias("name"), F.col(kind_col).alias("kind")).where("name is not null")
-    return items.join(rows, "row_id").select("row_id", "name", F.col("item").alias("alias"), "kind").mapInPandas(_different, "row_id long, alias string, kind string")
+    return sort_join(items, rows, "row_id").select("row_id", "name", F.col("item").alias("alias"), "kind").mapInPandas(_different, "row_id long, alias string, kind string")
 
 
 def link_names(rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -477,19 +478,19 @@ def link_names(rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     if stars is None:
         cluster = alone.withColumn("center", F.col("node"))
     else:
-        cluster = cut(alone.join(stars, "node", "left").select("node", F.coalesce("center", "node").alias("center")))
+        cluster = cut(sort_join(alone, stars, "node", "left").select("node", F.coalesce("center", "node").alias("center")))
     for level in (11, 10, 3, 1, 0):
         cluster = _attached(cluster, edges, level)
     if aliases is not None:
-        of = every.join(cluster.select(F.col("node").alias("nid"), "center"), "nid")
+        of = sort_join(every, cluster.select(F.col("node").alias("nid"), "center"), "nid")
         own = of.where("own").select("row_id", F.col("center").alias("a")).distinct()
-        links = own.join(of.where("not own").select("row_id", F.col("center").alias("b")).distinct(), "row_id").select("a", "b").distinct()
+        links = sort_join(own, of.where("not own").select("row_id", F.col("center").alias("b")).distinct(), "row_id").select("a", "b").distinct()
         label = components(links)
-        cluster = cut(cluster.join(label.select(F.col("node").alias("center"), "label"), "center", "left").select("node", F.coalesce("label", "center").alias("center")))
-    return every.where("own").join(cluster.select(F.col("node").alias("nid"), F.col("center").alias("class_id")), "nid").select("row_id", "class_id").distinct()
+        cluster = cut(sort_join(cluster, label.select(F.col("node").alias("center"), "label"), "center", "left").select("node", F.coalesce("label", "center").alias("center")))
+    return sort_join(every.where("own"), cluster.select(F.col("node").alias("nid"), F.col("center").alias("class_id")), "nid").select("row_id", "class_id").distinct()
 
 
 def class_pairs(classes: DataFrame, id_col: str = "row_id") -> DataFrame:
     """(id_1, id_2) of rows in one class, the smaller id first."""
     a, b = classes.select("class_id", F.col(id_col).alias("id_1")), classes.select("class_id", F.col(id_col).alias("id_2"))
-    return a.join(b, "class_id").where("id_1 < id_2").select("id_1", "id_2")
+    return sort_join(a, b, "class_id").where("id_1 < id_2").select("id_1", "id_2")
