@@ -356,12 +356,15 @@ def _same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["a1", "a2", "what"])
 
 
-def _keys(street: str) -> Column:
+def _keys(indexed: bool) -> Column:
     """What two addresses with one number and near streets share besides, if they are to be one place: the town, if both
-    towns are known; the postal code; or else, where a town isn't known, nothing more."""
-    part = lambda what, c: F.concat_ws("|", F.lit(what), street, F.col(c).cast("string"))
-    both = F.array(F.when(F.col("place").isNotNull(), part("p", "place")), F.when(F.col("postal") != "", part("c", "postal")), F.when((F.col("town") != "") & (F.col("unknown") | F.col("place").isNull()), F.concat_ws("|", F.lit("t"), street)))
-    return F.filter(both, lambda x: x.isNotNull())
+    are known; the postal code; or else, where at least one has a town that isn't known, nothing more."""
+    part = lambda what, c: F.when(F.col(c).isNotNull(), F.concat_ws("|", F.lit(what), "num", "street", F.nullif(F.col(c).cast("string"), F.lit(""))))
+    known, towned = F.col("place").isNotNull(), F.col("town") != ""
+    mark = lambda what, when: F.when(when & towned, F.concat_ws("|", F.lit(what), "num", "street"))
+    # t1 holds the addresses of unknown towns, t2 those of known ones.
+    open_ = [mark("t1", ~known), mark("t2", known)] if indexed else [mark("t1", towned), mark("t2", ~known)]
+    return F.filter(F.array(part("p", "place"), F.when(F.col("postal") != "", part("c", "postal")), *open_), lambda x: x.isNotNull())
 
 
 def candidates(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -378,14 +381,13 @@ def candidates(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
     index = rarest.select(F.col("aid").alias("a1"), F.concat_ws("|", F.lit("r"), "num", "token").alias("key"), F.col("n").alias("n1"))
     probes = weighed.select(F.col("aid").alias("a2"), F.concat_ws("|", F.lit("r"), "num", "token").alias("key"), F.col("n").alias("n2"))
     fuller = sort_join(index, probes, "key").where("a1 <> a2 and n2 >= n1").select("a1", "a2")
-    # Near spellings, of streets only.
-    vocabulary = cut(parts.select(F.xxhash64("street").alias("cid"), F.lit("t").alias("kind"), F.col("street").alias("core")).where("not core like '#%'").distinct())
-    name = lambda c, x: vocabulary.select(F.col("cid").alias(c), F.col("core").alias(x))
-    variants = sort_join(sort_join(core_pairs(vocabulary), name("c1", "street"), "c1"), name("c2", "variant"), "c2").select("street", "variant")
+    # Near spellings, of streets only; the rarer of two is looked for as the other, so that a common one isn't spread to all its errors.
+    vocabulary = parts.where("not street like '#%'").groupBy(F.xxhash64("street").alias("cid"), F.lit("t").alias("kind"), F.col("street").alias("core")).agg(F.count("*").alias("df"))
+    vocabulary = cut(vocabulary)
+    name = lambda c, x: vocabulary.select(F.col("cid").alias(c), F.col("core").alias(x), F.struct("df", "cid").alias(f"by_{x}"))
+    variants = sort_join(sort_join(core_pairs(vocabulary), name("c1", "street"), "c1"), name("c2", "variant"), "c2").where("by_street < by_variant").select("street", "variant")
     both = sort_join(parts, variants, "street").select("aid", "num", F.col("variant").alias("street"), "town", "place", "postal").unionByName(parts)
-    keyed = lambda df, unknown: df.withColumn("unknown", F.lit(unknown)).select("aid", F.explode(_keys("street")).alias("k"), "num").select("aid", F.concat_ws("|", "num", "k").alias("key"))
-    # Where a town isn't known it may be any other's near spelling: such addresses are indexed, and all are looked for among them.
-    streets = sort_join(keyed(parts, False).withColumnRenamed("aid", "a1"), keyed(both, True).withColumnRenamed("aid", "a2"), "key").where("a1 <> a2").select("a1", "a2")
+    streets = sort_join(parts.select(F.col("aid").alias("a1"), F.explode(_keys(True)).alias("key")), both.select(F.col("aid").alias("a2"), F.explode(_keys(False)).alias("key")), "key").where("a1 <> a2").select("a1", "a2")
     met = fuller.unionByName(streets).select(F.least("a1", "a2").alias("a1"), F.greatest("a1", "a2").alias("a2")).distinct()
     return met, frequency
 
