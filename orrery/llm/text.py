@@ -7,15 +7,22 @@ import unicodedata
 from collections import OrderedDict
 from collections.abc import Callable, Hashable
 
-_LETTERS = str.maketrans({"ß": "ss", "ø": "o", "Ø": "o", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe", "ł": "l", "Ł": "l", "đ": "d", "Đ": "d", "ð": "d", "þ": "th"})
+_LETTERS = str.maketrans({"ø": "o", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d", "ð": "d", "þ": "th"})
+_OTHER = re.compile("[øæœłđðþ]")
+
+# The commonest combining marks.
+_ACCENTS = re.compile("[\u0300-\u036f]+")
 
 
 def plain(text: str) -> str:
     """Lower case without accents."""
     if text.isascii():
         return text.lower()
-    t = unicodedata.normalize("NFKD", text.translate(_LETTERS).casefold())
-    return "".join(c for c in t if not unicodedata.combining(c))
+    t = text.casefold()
+    if _OTHER.search(t):
+        t = t.translate(_LETTERS)
+    t = _ACCENTS.sub("", unicodedata.normalize("NFKD", t))
+    return t if t.isascii() else "".join(c for c in t if not unicodedata.combining(c))
 
 
 def edits(a: str, b: str, most: int) -> int:
