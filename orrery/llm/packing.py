@@ -8,7 +8,7 @@ is lost at a group's last bin is small against its thousands of bins.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Pieces of text that a group should hold.
@@ -74,8 +74,9 @@ def pack(docs: DataFrame, specs: DataFrame, id_col: str = "doc_id", size_col: st
     pieces = sized.join(F.broadcast(specs) if few else specs, F.lit(True)).select(
         "spec", "capacity", "doc_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.expr("(size - 1) div capacity")), lambda k: F.struct(k.alias("piece"), (k * F.col("capacity")).alias("start"), F.least(F.col("capacity"), F.col("size") - k * F.col("capacity")).alias("size")))).alias("p")
     ).select("spec", "capacity", "doc_id", "p.piece", "p.start", "p.size")
-    # Full pieces fill a container each; only the others are packed.
-    full = pieces.where("size = capacity").select("spec", "capacity", F.concat(F.lit("full-"), "doc_id", F.lit("-"), "piece").alias("container"), "doc_id", "piece", "start", "size")
+    # Full pieces fill a container each; only the others are packed. An id that repeats has as many as its pieces, which a number of its own tells apart.
+    again = F.row_number().over(Window.partitionBy("spec", "doc_id", "piece").orderBy("size"))
+    full = pieces.where("size = capacity").withColumn("again", again).select("spec", "capacity", F.concat_ws("-", F.lit("full"), "doc_id", "piece", F.when(F.col("again") > 1, F.col("again").cast("string"))).alias("container"), "doc_id", "piece", "start", "size")
     part = pieces.where("size < capacity")
     n = sized.count()
     groups = max(1, -(-n // group_pieces))
