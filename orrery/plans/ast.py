@@ -94,7 +94,7 @@ def fuzzy(t: Column, word: str, edits: int, prefix: int = 0) -> Column:
     return near & (F.substring(t, 1, prefix) == word[:prefix]) if prefix else near
 
 
-def _wild(value: str, one: str) -> str:
+def wild(value: str, one: str) -> str:
     out, i = "", 0
     while i < len(value):
         c = value[i]
@@ -122,7 +122,7 @@ def compile_leaf(leaf: Leaf, fields: Fields) -> Column:
         return _number_range(leaf, fields, c)
     if plain_text and leaf.kind in ("term", "prefix", "wildcard"):
         # One pattern over the text, so that no array of words is made.
-        body = {"term": re.escape(leaf.value), "prefix": re.escape(leaf.value) + f"{WORD}*", "wildcard": _wild(leaf.value, WORD)}[leaf.kind]
+        body = {"term": re.escape(leaf.value), "prefix": re.escape(leaf.value) + f"{WORD}*", "wildcard": wild(leaf.value, WORD)}[leaf.kind]
         return F.coalesce(F.lower(c.cast("string")).rlike(f"(?<!{WORD}){body}(?!{WORD})"), F.lit(False))
     if plain_text and leaf.kind == "phrase" and leaf.slop == 0:
         body = rf"[^\p{{L}}\p{{N}}_]+".join(map(re.escape, phrase_words(leaf)))
@@ -133,7 +133,7 @@ def compile_leaf(leaf: Leaf, fields: Fields) -> Column:
     test = {
         "term": lambda t: t == leaf.value,
         "prefix": lambda t: t.startswith(leaf.value),
-        "wildcard": lambda t: t.rlike(f"(?s)^{_wild(leaf.value, '.')}$"),
+        "wildcard": lambda t: t.rlike(f"(?s)^{wild(leaf.value, '.')}$"),
         "regex": lambda t: t.rlike(f"^(?:{leaf.value})$"),
         "fuzzy": lambda t: fuzzy(t, leaf.value, leaf.edits, leaf.prefix),
         "range": lambda t: _between(t, leaf),
@@ -192,14 +192,20 @@ def _phrase(leaf: Leaf, terms: Column) -> Column:
         found = F.filter(F.transform(t, lambda x, i: F.struct(x.alias("t"), i.alias("i"))), lambda x: x["t"] == word)
         return F.transform(found, lambda x: x["i"] - k)
 
-    def nested(at: Column, k: int, low: Column | None, high: Column | None) -> Column:
+    return F.coalesce(F.exists(F.array(terms), lambda t: F.exists(F.array(F.array(*[places(t, k) for k in range(n)])), lambda at: within_slop(at, n, leaf.slop))), F.lit(False))
+
+
+def within_slop(at: Column, n: int, slop: int) -> Column:
+    """Whether one place of each of n words (an array of arrays, each place less the word's own) can be taken so that they lie within slop."""
+
+    def nested(k: int, low: Column | None, high: Column | None) -> Column:
         def step(p: Column) -> Column:
             lo, hi = (p, p) if low is None else (F.least(low, p), F.greatest(high, p))
-            return (hi - lo) <= leaf.slop if k == n - 1 else nested(at, k + 1, lo, hi)
+            return (hi - lo) <= slop if k == n - 1 else nested(k + 1, lo, hi)
 
         return F.exists(at[k], step)
 
-    return F.coalesce(F.exists(F.array(terms), lambda t: F.exists(F.array(F.array(*[places(t, k) for k in range(n)])), lambda at: nested(at, 0, None, None))), F.lit(False))
+    return nested(0, None, None)
 
 
 def compile_query(node: Leaf | Group, fields: Fields, strict: bool = False) -> Column:
