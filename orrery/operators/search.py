@@ -131,15 +131,26 @@ def sort_keys(sort: tuple[tuple[str, str], ...], tie: str) -> list[Column]:
     return [*keys, F.col(f"`{tie}`").asc()]
 
 
-def after(df: DataFrame, sort_col: str, tie: str, cursor: tuple | None) -> DataFrame:
-    """Rows behind the cursor (sort value, tie value), for the next page."""
+def after(df: DataFrame, sort: tuple[tuple[str, str], ...], tie: str, cursor: tuple | None) -> DataFrame:
+    """Rows behind the cursor (a value for each sort key, as sort_keys compares them, then the tie's), for the next page. Nulls come first."""
     if cursor is None:
         return df
-    v, t = cursor
-    c = F.col(f"`{sort_col}`")
-    if v is None:
-        return df.where(c.isNotNull() | (F.col(f"`{tie}`") > t))
-    return df.where((c > F.lit(v)) | ((c == F.lit(v)) & (F.col(f"`{tie}`") > t)))
+    kinds = {"int": "long", "float": "double"}
+    keys = [F.col(f"`{name}`").try_cast(kinds[k]) if k in kinds else F.col(f"`{name}`").cast("string") for name, k in sort] + [F.col(f"`{tie}`")]
+    if len(cursor) != len(keys):
+        raise ValueError(f"a cursor of {len(keys)} values is wanted")
+    behind, same = F.lit(False), F.lit(True)
+    for i, (key, v) in enumerate(zip(keys, cursor)):
+        at = F.lit(v).cast("string") if i < len(sort) and sort[i][1] not in kinds else F.lit(v)
+        behind = behind | (same & (key.isNotNull() if v is None else F.coalesce(key > at, F.lit(False))))
+        same = same & key.eqNullSafe(at)
+    return df.where(behind)
+
+
+def page(df: DataFrame, request: Request | str, fields: Fields | None = None, tie: str | None = None, cursor: tuple | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, count): the answer to a compound query, and how many rows match in all, before limit, page and projection."""
+    r = parse_request(request) if isinstance(request, str) else request
+    return run(df, r, fields, tie, cursor), search(df, r.query, fields).agg(F.count("*").alias("count"))
 
 
 def project(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -199,7 +210,7 @@ def run(df: DataFrame, request: Request | str, fields: Fields | None = None, tie
     else:
         hits = bm25(df, r.query, fields)
     if r.paginate and r.sort:
-        hits = after(hits, r.sort[0][0], tie, cursor)
+        hits = after(hits, r.sort, tie, cursor)
     keys = sort_keys(r.sort, tie) if r.sort else [F.col("score").desc(), F.col(f"`{tie}`").asc()] if "score" in hits.columns else [F.col(f"`{tie}`").asc()]
     if r.everything:
         hits = hits.orderBy(*keys)

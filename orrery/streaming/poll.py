@@ -33,5 +33,5 @@ def follow(spark: SparkSession, source: str, schema: T.StructType, store: Store,
 
 
 def windowed_counts(stream: DataFrame, ts: str, key: str, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Rows per key and window of a stream, with rows later than ``late`` left out."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
+    """Rows per key and window of a stream, with rows later than ``late`` left out. Times without a zone are the session's."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
