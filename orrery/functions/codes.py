@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,26 @@ def bytes_long(c: Column) -> Column:
     return F.conv(F.hex(c), 16, -10).cast("long")
 
 
+def double_bytes(c: Column) -> Column:
+    """A double as eight bytes, the highest first; null for null."""
+
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([np.array(v, dtype=">f8").tobytes() for v in x], index=x.index)
+
+    run.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return F.when(c.isNotNull(), F.pandas_udf(run, "binary")(c.cast("double")))
+
+
+def bytes_double(c: Column) -> Column:
+    """The double that eight bytes stand for; null for any other number of bytes."""
+
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([float(np.frombuffer(v, dtype=">f8")[0]) if v is not None and len(v) == 8 else None for v in x], index=x.index, dtype="float64")
+
+    run.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return F.when(F.octet_length(c) == 8, F.pandas_udf(run, "double")(c))
+
+
 def long_shorts(c: Column) -> Column:
     return F.array(*[F.shiftrightunsigned(c, s).bitwiseAND(F.lit(0xFFFF)).cast("int") for s in (48, 32, 16, 0)])
 

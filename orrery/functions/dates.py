@@ -6,15 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The formats a date may be written in, in the order in which they are tried, and units in milliseconds.
-FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy", "dd-MMM-yyyy", "yyyyMMddHHmmss", "yyyyMMdd"]
+FORMATS = [
+    "yyyy/MM/dd", "yyyy-MM-dd", "MM/dd/yyyy HH:mm:ss", "yyyyMMdd HH:mm:ss", "yyyy-MM-dd HH:mm:ss",
+    "MM/dd/yyyy HH:mm", "yyyyMMdd HH:mm", "yyyy-MM-dd HH:mm", "MM/dd/yyyy", "yyyyMMdd",
+]
+# Further formats, tried after those.
+MORE_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd-MMM-yyyy", "yyyyMMddHHmmss"]
 MILLIS = {"milliseconds": 1, "seconds": 1000, "minutes": 60_000, "hours": 3_600_000, "days": 86_400_000}
 DATE_TYPES = ["DOB", "DOD", "INCORPORATED", "DISSOLVED"]
 MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
 
 
 def parse_date(c: Column, formats: list[str] | None = None) -> Column:
-    """The timestamp of the first format that fits; null where none does."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats or FORMATS])
+    """The timestamp of the first format that fits the whole text; null where none does."""
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats or FORMATS + MORE_FORMATS])
 
 
 def format_date(c: Column, pattern: str) -> Column:

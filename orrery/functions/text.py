@@ -143,3 +143,43 @@ def is_valid_entity(name: Column, kind: Column, stripped: Column, key: Column) -
     """An entity has a name, a stripped name, a phonetic key and one of the types A, O and P."""
     full = [~is_blank(x) for x in (name, stripped, key)]
     return full[0] & full[1] & full[2] & F.coalesce(kind.isin("A", "O", "P"), F.lit(False))
+
+
+def fill_placeholders(template: str, *values: Column, mark: str = "?") -> Column:
+    """The template with each mark replaced by the next value; null values stand as null, also where the template quotes
+    them. Marks without a value stay; values without a mark aren't used."""
+    pieces = template.split(mark)
+    out = [F.lit(pieces[0])]
+    for i, piece in enumerate(pieces[1:]):
+        text = F.coalesce(values[i].cast("string"), F.lit("null")) if i < len(values) else F.lit(mark)
+        out += [F.when(F.lower(text) == "null", F.lit("null")).otherwise(text), F.lit(piece)]
+    return F.replace(F.concat(*out), F.lit("'null'"), F.lit("null"))
+
+
+def random_text(key: Column, n: int, alphabet: str, seed: int = 0) -> Column:
+    """n characters of an alphabet, drawn by a hash of the key, so that a retried task draws the same; empty for an empty alphabet."""
+    if not alphabet or n <= 0:
+        return F.lit("")
+    draw = lambda i: F.substring(F.lit(alphabet), (F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), draw), "")
+
+
+def greatest_text(*cs: Column) -> Column:
+    """The last in lexicographic order; empty where all are null."""
+    return F.coalesce(F.array_max(F.array(*cs)), F.lit(""))
+
+
+def least_text(*cs: Column) -> Column:
+    return F.coalesce(F.array_min(F.array(*cs)), F.lit(""))
+
+
+def by_value(c: Column) -> Column:
+    """The entries of a map as an array in the order of their values, equal ones in the order of their keys."""
+    order = lambda a, b: F.when(a["value"] < b["value"], -1).when(a["value"] > b["value"], 1).when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+    return F.array_sort(F.map_entries(c), order)
+
+
+def place_of(sorted_array: Column, value: Column, suggest: bool = False) -> Column:
+    """The place from 0 of a value in a sorted array; where it isn't there, -1 or, if asked for, the place where it belongs."""
+    before = F.size(F.filter(sorted_array, lambda x: x < value))
+    return before if suggest else F.when(F.array_contains(sorted_array, value), before).otherwise(F.lit(-1))
