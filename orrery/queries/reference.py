@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import codes, dates, lookup, text
 from orrery.operators import aggregate, relational, search, tags
+from orrery.operators.index import TextIndex, index_of
 from orrery.plans.ast import Fields
 from orrery.plans.languages import parse_assignment, parse_field_query, parse_json_query, parse_prefix
 from orrery.session import table
@@ -28,11 +29,17 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-def _prefix(name: str, tbl: str, cols: list[str], q: str, where: str, types: dict[str, str] | None = None) -> None:
-    """A search in the prefix form; ``where`` is its condition in SQL over ``t``, the words of text."""
+def documents_index(spark: SparkSession, sf: str) -> TextIndex:
+    return index_of(table(spark, sf, "documents"), f"{sf}/documents", "doc_id", ["text"])
+
+
+def _prefix(name: str, tbl: str, cols: list[str], q: str, where: str, types: dict[str, str] | None = None, scan: bool = False) -> None:
+    """A search in the prefix form, from the index where there is one; ``where`` is its condition in SQL over ``t``, the words of text."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         df = table(spark, sf, tbl)
+        if tbl == "documents" and not scan:
+            return documents_index(spark, sf).search(df.select(*cols), parse_prefix(q))
         return search.search(df, parse_prefix(q), Fields.of(df, types)).select(*cols)
 
     run.__name__ = name
@@ -43,6 +50,8 @@ def _prefix(name: str, tbl: str, cols: list[str], q: str, where: str, types: dic
 D = ["doc_id", "lang"]
 _prefix("term_search", "documents", D, "(* text:harbour)", "list_contains(t, 'harbour')")
 _prefix("bool_must_should", "documents", D, "(+ text:the (* text:registry text:court))", "list_contains(t, 'the') AND (list_contains(t, 'registry') OR list_contains(t, 'court'))")
+_prefix("term_scan", "documents", D, "(* text:harbour)", "list_contains(t, 'harbour')", scan=True)
+_prefix("phrase_scan", "documents", D, '(+ text:"the register")', "len(list_filter(range(1, len(t)), lambda i: t[i] = 'the' AND t[i + 1] = 'register')) > 0", scan=True)
 _prefix("bool_must_not", "documents", D, "(+ text:the (- text:crowns text:million))", "list_contains(t, 'the') AND NOT (list_contains(t, 'crowns') OR list_contains(t, 'million'))")
 _prefix("bool_nested", "documents", D, "(+ (* text:letter text:brief) (* (+ text:the text:register) lang:fr))", "(list_contains(t, 'letter') OR list_contains(t, 'brief')) AND ((list_contains(t, 'the') AND list_contains(t, 'register')) OR lower(lang) = 'fr')")
 _prefix("prefix_search", "documents", D, "(+ text:regist*)", "len(list_filter(t, lambda x: starts_with(x, 'regist'))) > 0")
@@ -93,9 +102,8 @@ def json_dsl_or(spark, sf):
     SELECT doc_id, round(score, 4) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 50"""
 )
 def bm25_topk(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", "text")
-    top = search.run(df, "(* text:harbour text:court)\nlimit=50")
-    return top.select("doc_id", F.round("score", 4).alias("score"))
+    top = documents_index(spark, sf).bm25(parse_prefix("(* text:harbour text:court)")).orderBy(F.desc("score"), "id").limit(50)
+    return top.select(F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
 @query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority NULLS FIRST, o_totalprice NULLS FIRST, o_orderkey LIMIT 100")
@@ -290,10 +298,9 @@ def hex_text(spark, sf):
     return table(spark, sf, "part").select("p_partkey", h.alias("h"), codes.from_hex(h).alias("back"))
 
 
-@query("SELECT o_orderkey, abs(date_diff('day', o_orderdate, TIMESTAMP '1998-01-01')) AS days FROM orders WHERE o_orderdate = date_trunc('day', o_orderdate)")
+@query("SELECT o_orderkey, abs(epoch_ms(o_orderdate) - epoch_ms(TIMESTAMP '1998-01-01')) // 86400000 AS days FROM orders")
 def datediff(spark, sf):
-    df = table(spark, sf, "orders").where("o_orderdate = date_trunc('day', o_orderdate)")
-    return df.select("o_orderkey", dates.date_diff("days", F.col("o_orderdate"), F.lit("1998-01-01").cast("timestamp")).alias("days"))
+    return table(spark, sf, "orders").select("o_orderkey", dates.date_diff("days", F.col("o_orderdate"), F.lit("1998-01-01").cast("timestamp")).alias("days"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d') AS written, date_trunc('day', o_orderdate)::DATE AS day FROM orders")
@@ -307,11 +314,11 @@ def abbreviate(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.abbreviate(F.col("p_type"), 4, 12, "..").alias("short"))
 
 
-@query("""SELECT record_id, CASE WHEN starts_with(trim(aliases), '[') AND json_valid(aliases) THEN CAST(json_array_length(aliases) AS BIGINT) ELSE 1 END AS n FROM entities WHERE aliases IS NOT NULL AND (NOT starts_with(trim(aliases), '[') OR json_valid(aliases))""")
+@query("""SELECT record_id, CASE WHEN starts_with(trim(aliases), '[') AND json_valid(aliases) THEN CAST(json_array_length(aliases) AS BIGINT) ELSE 1 END AS n, CASE WHEN starts_with(trim(aliases), '[') AND json_valid(aliases) THEN aliases ->> '$[0]' ELSE aliases END AS first FROM entities""")
 def csv_list_expand(spark, sf):
-    df = table(spark, sf, "entities").where("aliases is not null")
-    valid = ~F.trim("aliases").startswith("[") | F.from_json("aliases", "array<string>").isNotNull()
-    return df.where(valid).select("record_id", F.size(codes.embedded_list(F.col("aliases"))).cast("long").alias("n"))
+    """A cell that begins like a list but isn't one keeps its text, as a null keeps its null."""
+    items = codes.embedded_list(F.col("aliases"))
+    return table(spark, sf, "entities").select("record_id", F.size(items).cast("long").alias("n"), F.get(items, F.lit(0)).alias("first"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
