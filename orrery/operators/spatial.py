@@ -19,13 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.session import cut, spread
+from orrery.session import cut, sort_join, spread
 
 EARTH_KM = 6371.0088
-#: Regions are carried to every task only up to this many characters of WKT; beyond, triangles are joined by grid cell.
+#: Regions are carried to every task up to this many characters of WKT; their triangles are divided among tasks beyond.
 BROADCAST_WKT = 8_000_000
-#: Degrees of the grid on which triangles and points meet where regions are too many to be carried along.
-TRIANGLE_CELL = 1.0
 
 
 def valid_position(lat: Column, lon: Column) -> Column:
@@ -61,7 +59,7 @@ def near_positions(spots: DataFrame, km: float) -> DataFrame:
     n = n_cols(F.col("row"))
     lo, hi = F.floor((F.col("lon_2") - F.col("w") + 180) / 360 * n), F.floor((F.col("lon_2") + F.col("w") + 180) / 360 * n)
     visits = visits.withColumn("col", F.explode(F.array_distinct(F.transform(F.sequence(lo, F.least(hi, lo + n)), lambda c: F.pmod(c, n))))).drop("w")
-    return home.join(visits, ["row", "col"]).where("rep_1 < rep_2").where(great_circle_km(F.col("lat_1"), F.col("lon_1"), F.col("lat_2"), F.col("lon_2")) <= km).select("rep_1", "rep_2")
+    return sort_join(home, visits, ["row", "col"]).where("rep_1 < rep_2").where(great_circle_km(F.col("lat_1"), F.col("lon_1"), F.col("lat_2"), F.col("lon_2")) <= km).select("rep_1", "rep_2")
 
 
 def near_classes(points: DataFrame, id_col: str, lat: str = "latitude", lon: str = "longitude", km: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +68,7 @@ def near_classes(points: DataFrame, id_col: str, lat: str = "latitude", lon: str
     The form for inputs with large groups of rows at one position, of which not all pairs are wanted."""
     p = positions(points, id_col, lat, lon)
     spots = p.groupBy("lat", "lon").agg(F.min("id").alias("rep"))
-    members = p.join(spots, ["lat", "lon"]).select("rep", "id")
+    members = sort_join(p, spots, ["lat", "lon"]).select("rep", "id")
     return members, near_positions(spots.select("rep", "lat", "lon"), km)
 
 
@@ -81,12 +79,12 @@ def near_pairs(points: DataFrame, id_col: str, lat: str = "latitude", lon: str =
     rows whose position is null, out of range or 0, 0 have none. Ids must be unique."""
     p = positions(points, id_col, lat, lon)
     spots = p.groupBy("lat", "lon").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    members = p.join(spots, ["lat", "lon"]).select("rep", "id", "n")
+    members = sort_join(p, spots, ["lat", "lon"]).select("rep", "id", "n")
     pairs = near_positions(spots.select("rep", "lat", "lon"), km)
     a, b = members.select(F.col("rep").alias("rep_1"), F.col("id").alias("a")), members.select(F.col("rep").alias("rep_2"), F.col("id").alias("b"))
-    apart = pairs.join(a, "rep_1").join(b, "rep_2").select(F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2"))
+    apart = sort_join(sort_join(pairs, a, "rep_1"), b, "rep_2").select(F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2"))
     many = members.where("n > 1")
-    same = many.select("rep", F.col("id").alias("id_1")).join(many.select("rep", F.col("id").alias("id_2")), "rep").where("id_1 < id_2").select("id_1", "id_2")
+    same = sort_join(many.select("rep", F.col("id").alias("id_1")), many.select("rep", F.col("id").alias("id_2")), "rep").where("id_1 < id_2").select("id_1", "id_2")
     return apart.unionByName(same)
 
 
@@ -253,35 +251,64 @@ def triangles_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["area_id", "ax", "ay", "bx", "by", "cx", "cy"])
 
 
-def points_in_areas(points: DataFrame, areas: DataFrame, id_col: str, lat: str = "latitude", lon: str = "longitude", area_id: str = "area_id", wkt: str = "wkt") -> DataFrame:
+def _assigned(triangles: pd.DataFrame) -> tuple[np.ndarray, BoundingVolumes]:
+    return triangles["area_id"].to_numpy(), BoundingVolumes(triangles[["ax", "ay", "bx", "by", "cx", "cy"]].to_numpy())
+
+
+def points_in_areas(points: DataFrame, areas: DataFrame, id_col: str, lat: str = "latitude", lon: str = "longitude", area_id: str = "area_id", wkt: str = "wkt", carried: int | None = None) -> DataFrame:
     """(area_id, id) for each point and each area that contains it, once; points on an area's edge are inside.
 
     Edges are straight in longitude and latitude, holes are outside. Areas with a null, empty or unreadable WKT contain
-    nothing; one that crosses itself is an error. Points without a valid position are in none; repeated rows each count."""
+    nothing; one that crosses itself is an error. Points without a valid position are in none; repeated rows each count.
+    Areas of up to ``carried`` characters (BROADCAST_WKT) go to every task as one hierarchy; more are divided, with the same result."""
     areas = areas.select(F.col(area_id).cast("long").alias("area_id"), F.col(wkt).alias("wkt")).where("wkt is not null")
     triangles = cut(areas.mapInPandas(triangles_of, "area_id long, ax double, ay double, bx double, by double, cx double, cy double"))
     p = positions(points, id_col, lat, lon)
-    if areas.agg(F.coalesce(F.sum(F.length("wkt")), F.lit(0)).alias("n")).first()["n"] > BROADCAST_WKT:
-        return _by_cell(p, triangles)
-    table = triangles.toPandas()
-    owner, shape = table["area_id"].to_numpy(), table[["ax", "ay", "bx", "by", "cx", "cy"]].to_numpy()
-    volumes = p.sparkSession.sparkContext.broadcast((owner, BoundingVolumes(shape)))
+    if areas.agg(F.coalesce(F.sum(F.length("wkt")), F.lit(0)).alias("n")).first()["n"] > (BROADCAST_WKT if carried is None else carried):
+        return _divided(p, triangles)
+    volumes = p.sparkSession.sparkContext.broadcast(_assigned(triangles.toPandas()))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner_, tree = volumes.value
+        owner, tree = volumes.value
         for pdf in batches:
             at, which = tree.hits(pdf["lon"].to_numpy(), pdf["lat"].to_numpy())
-            yield pd.DataFrame({"area_id": owner_[which], "id": pdf["id"].to_numpy()[at], "at": at}).drop_duplicates(["area_id", "at"])[["area_id", "id"]]
+            yield pd.DataFrame({"area_id": owner[which], "id": pdf["id"].to_numpy()[at], "at": at}).drop_duplicates(["area_id", "at"])[["area_id", "id"]]
 
     return spread(p).mapInPandas(assign, "area_id long, id long")
 
 
-def _by_cell(p: DataFrame, triangles: DataFrame) -> DataFrame:
-    """For regions too many to carry along: triangles at every grid cell of their box, points at theirs."""
-    cell = lambda c: F.floor(c / TRIANGLE_CELL)
-    xs, ys = ("ax", "bx", "cx"), ("ay", "by", "cy")
-    t = triangles.withColumn("x", F.explode(F.sequence(cell(F.least(*xs)), cell(F.greatest(*xs))))).withColumn("y", F.explode(F.sequence(cell(F.least(*ys)), cell(F.greatest(*ys)))))
-    side = lambda a, b: (F.col(b + "x") - F.col(a + "x")) * (F.col("lat") - F.col(a + "y")) >= (F.col(b + "y") - F.col(a + "y")) * (F.col("lon") - F.col(a + "x"))
-    q = p.withColumn("x", cell(F.col("lon"))).withColumn("y", cell(F.col("lat")))
-    # Two triangles of one area share an edge; rows that repeat stay apart by their id.
-    return q.join(t, ["x", "y"]).where(side("a", "b") & side("b", "c") & side("c", "a")).select("area_id", "id").distinct()
+def _divided(p: DataFrame, triangles: DataFrame, most_points: int = 200_000, most_triangles: int = 50_000) -> DataFrame:
+    """As points_in_areas for triangles too many to carry along: the hierarchy's upper nodes are the cells of grids, each
+    half as fine as the one before, and a triangle stands in the few cells it touches of the grid of its size. Points look
+    into their cell of each grid that is used. Below, each cell has a hierarchy of its own, with the same exact test.
+
+    A dense cell is divided into parts of so many points and triangles at most, which meet each other part by part."""
+    key = ["level", "x", "y"]
+    box = lambda f, axis: f(*(c + axis for c in "abc"))
+    width = F.greatest(box(F.greatest, "x") - box(F.least, "x"), box(F.greatest, "y") - box(F.least, "y"), F.lit(2.0**-6))
+    cell = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    t = triangles.withColumn("tid", F.xxhash64(*triangles.columns)).withColumn("level", F.ceil(F.log2(width)).cast("int"))
+    t = t.withColumn("x", F.explode(F.sequence(cell(box(F.least, "x")), cell(box(F.greatest, "x"))))).withColumn("y", F.explode(F.sequence(cell(box(F.least, "y")), cell(box(F.greatest, "y")))))
+    t = cut(t)
+    levels = [r["level"] for r in t.select("level").distinct().collect()]  # from -6 to 9
+    # A number of its own keeps rows with one id apart.
+    q = cut(p.withColumn("row", F.monotonically_increasing_id()))
+    q = q.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])) if levels else F.lit(0)).withColumn("x", cell(F.col("lon"))).withColumn("y", cell(F.col("lat")))
+    n_t = t.groupBy(*key).agg(F.ceil(F.count("*") / most_triangles).cast("int").alias("t_parts"))
+    n_q = sort_join(q, n_t, key, "left_semi").groupBy(*key).agg(F.ceil(F.count("*") / most_points).cast("int").alias("q_parts"))
+    parts = cut(sort_join(n_t, n_q, key))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c, F.lit(3)), F.col(n)).cast("int")
+    left = sort_join(q, parts, key).withColumn("qp", own("row", "q_parts")).withColumn("tp", every("t_parts"))
+    right = sort_join(t, parts, key).withColumn("tp", own("tid", "t_parts")).withColumn("qp", every("q_parts"))
+    group = [*key, "qp", "tp"]
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"area_id": [], "id": [], "row": []}).astype("int64")
+        owner, tree = _assigned(b)
+        at, which = tree.hits(a["lon"].to_numpy(), a["lat"].to_numpy())
+        return pd.DataFrame({"area_id": owner[which], "id": a["id"].to_numpy()[at], "row": a["row"].to_numpy()[at]}).drop_duplicates()
+
+    met = left.select(*group, "id", "row", "lat", "lon").groupBy(*group).cogroup(right.select(*group, *triangles.columns).groupBy(*group)).applyInPandas(meet, "area_id long, id long, row long")
+    return met.dropDuplicates(["area_id", "row"]).select("area_id", "id")
