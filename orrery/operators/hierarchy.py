@@ -14,9 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.session import cut
+from orrery.session import cut, sort_join
 
 SPLITTER_RATE = 4
+#: Steps of a walk, and doublings of jumps, between two checkpoints.
+STEPS, DOUBLINGS = 4, 2
 
 
 def id_key(c: Column) -> Column:
@@ -44,25 +46,26 @@ def stated_links(df: DataFrame, node: str = "entity_id", child_of: str = "childo
     down = df.where(F.col(parent_of).isNotNull()).select(id_key(one).alias("parent"), F.explode(pieces(parent_of)).alias("c")).select(id_key(F.col("c")).alias("child"), "parent")
     links = up.select("child", "parent").unionByName(down.select("child", "parent")).where("child is not null and parent is not null").distinct()
     c, p = nodes.select(F.col("key").alias("child"), F.col("node").alias("c")), nodes.select(F.col("key").alias("parent"), F.col("node").alias("p"))
-    return links.join(c, "child").join(p, "parent").select(F.col("c").alias("child"), F.col("p").alias("parent"))
+    return sort_join(sort_join(links, c, "child"), p, "parent").select(F.col("c").alias("child"), F.col("p").alias("parent"))
 
 
 def _is_splitter(c: Column) -> Column:
     return F.pmod(F.xxhash64(c, F.lit(11)), F.lit(SPLITTER_RATE)) == 0
 
 
-def _doubled(state: DataFrame) -> DataFrame:
-    """state(node, jump, low) with each jump twice as long and low the smallest over the way gone."""
-    other = state.select(F.col("node").alias("jump"), F.col("jump").alias("j2"), F.col("low").alias("l2"))
-    return state.join(other, "jump").select("node", F.col("j2").alias("jump"), F.least("low", "l2").alias("low"))
+def _doubled(state: DataFrame, times: int = DOUBLINGS) -> DataFrame:
+    """state(node, jump, low) with each jump twice as long, ``times`` times over, and low the smallest over the way gone."""
+    for _ in range(times):
+        other = state.select(F.col("node").alias("jump"), F.col("jump").alias("j2"), F.col("low").alias("l2"))
+        state = sort_join(state, other, "jump").select("node", F.col("j2").alias("jump"), F.least("low", "l2").alias("low"))
+    return state
 
 
 def _solve_loops(ptr: DataFrame) -> DataFrame:
     """(node, loop) for ptr(node, next, low), in which every way ends in a loop: the smallest low on that loop.
 
     The images of longer and longer jumps shrink to the nodes on loops; then the smallest low is spread round them."""
-    state = cut(ptr.select("node", F.col("next").alias("jump"), "low"))
-    image = state.select("jump").distinct().count()
+    state, image = ptr.select("node", F.col("next").alias("jump"), "low"), -1
     while True:
         state = cut(_doubled(state))
         now = state.select("jump").distinct().count()
@@ -70,14 +73,27 @@ def _solve_loops(ptr: DataFrame) -> DataFrame:
             break
         image = now
     entry = state.select("node", "jump")
-    on = cut(ptr.join(entry.select(F.col("jump").alias("node")).distinct(), "node", "left_semi").select("node", F.col("next").alias("jump"), "low"))
+    on = cut(sort_join(ptr, entry.select(F.col("jump").alias("node")).distinct(), "node", "left_semi").select("node", F.col("next").alias("jump"), "low"))
+    total = None
     while True:
-        grown = cut(_doubled(on))
-        changed = grown.alias("a").join(on.alias("b"), "node").where("a.low <> b.low").limit(1).count()
-        on = grown
-        if not changed:
+        on = cut(_doubled(on))
+        # The lows only fall; ids are texts, so that a sum of hashes tells whether any did.
+        now = on.agg(F.sum(F.xxhash64("low").cast("decimal(38,0)"))).first()[0]
+        if now == total:
             break
-    return entry.join(on.select(F.col("node").alias("jump"), F.col("low").alias("loop")), "jump").select("node", "loop")
+        total = now
+    return sort_join(entry, on.select(F.col("node").alias("jump"), F.col("low").alias("loop")), "jump").select("node", "loop")
+
+
+def _walk(state: DataFrame, step: DataFrame, with_paths: bool) -> DataFrame:
+    """state(node, at, hops, low, seg, done) after one step up for each walk that isn't done, or its end at a splitter.
+
+    Walks that are done look for a key that no node has, each its own, so that they stay spread over the partitions."""
+    key = F.when(F.col("done"), F.concat(F.lit("\0"), "node")).otherwise(F.col("at"))
+    met = sort_join(state.withColumn("key", key), step, "key", "left")
+    ends = F.col("done") | F.col("stop")
+    seg = F.when(ends, F.col("seg")).otherwise(F.concat("seg", F.array("at"))) if with_paths else F.col("seg")
+    return met.select("node", F.when(ends, F.col("at")).otherwise(F.col("up")).alias("at"), F.when(ends, F.col("hops")).otherwise(F.col("hops") + 1).alias("hops"), F.when(ends, F.col("low")).otherwise(F.least("low", "at")).alias("low"), seg.alias("seg"), ends.alias("done"))
 
 
 def resolve_hierarchy(links: DataFrame, child: str = "child", parent: str = "parent", with_paths: bool = True) -> DataFrame:
@@ -93,66 +109,62 @@ def resolve_hierarchy(links: DataFrame, child: str = "child", parent: str = "par
     ptr = cut(parents.select("node", F.col("parent").cast("string").alias("parent")).unionByName(roots).withColumn("stop", F.col("parent").isNull() | _is_splitter(F.col("node"))))
 
     # Walk every node up to its next splitter. seg holds the nodes gone through, itself first, without the splitter.
-    step = ptr.select(F.col("node").alias("at"), F.col("parent").alias("up"), "stop")
-    first = ptr.where("parent is not null").select("node", F.col("parent").alias("at"), F.lit(1).cast("long").alias("hops"), F.col("node").alias("low"), (F.array("node") if with_paths else F.lit(None).cast("array<string>")).alias("seg"))
-    walking, ended = first, None
-    left = -1
+    step = ptr.select(F.col("node").alias("key"), F.col("parent").alias("up"), "stop")
+    none = F.lit(None).cast("array<string>")
+    walking = ptr.where("parent is not null").select("node", F.col("parent").alias("at"), F.lit(1).cast("long").alias("hops"), F.col("node").alias("low"), (F.array("node") if with_paths else none).alias("seg"), F.lit(False).alias("done"))
+    ended, left = walking.limit(0).drop("done"), -1
     while True:
-        walking = cut(walking.join(step, "at"))
-        here = walking.where("stop").drop("up", "stop")
-        ended = here if ended is None else ended.unionByName(here)
-        walking = walking.where("not stop")
+        for _ in range(STEPS):
+            walking = _walk(walking, step, with_paths)
+        walking = cut(walking)
+        ended = ended.unionByName(walking.where("done").drop("done"))
+        walking = walking.where("not done")
         now = walking.count()
         if now == 0 or now == left:
             left = now
             break
         left = now
-        walking = walking.select("node", F.col("up").alias("at"), F.col("hops") + 1, F.least("low", "at").alias("low"), (F.concat("seg", F.array("at")) if with_paths else F.col("seg")).alias("seg")).toDF("node", "at", "hops", "low", "seg")
     ended = cut(ended)
 
     empty = ptr.limit(0).select("node", F.lit("").alias("loop"))
     stuck = empty
     if left:
         # Loops without any splitter, and what leads into them (splitters too, whose way up holds no other).
-        stuck = cut(_solve_loops(ptr.join(walking.select("node"), "node", "left_semi").select("node", F.col("parent").alias("next"), F.col("node").alias("low"))))
+        stuck = cut(_solve_loops(sort_join(ptr, walking.select("node"), "node", "left_semi").select("node", F.col("parent").alias("next"), F.col("node").alias("low"))))
 
     # The reduced graph: splitters and roots only.
-    jump = ended.join(ptr.where("stop").select("node"), "node", "left_semi")
+    jump = sort_join(ended, ptr.where("stop").select("node"), "node", "left_semi")
     tops = ptr.where("parent is null").select(F.col("node"), F.col("node").alias("root_id"), F.lit(0).cast("long").alias("depth"), (F.array("node") if with_paths else F.lit(None).cast("array<string>")).alias("path"))
     # seg of a way is kept from its lower end upwards and turned round when it is complete.
     live = cut(jump.select("node", F.col("at").alias("to"), "hops", "seg"))
     # Splitters above which there is only a loop without one count as solved, with a null depth.
-    solved = tops.unionByName(stuck.join(ptr.where("stop").select("node"), "node", "left_semi").select("node", F.col("loop").alias("root_id"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path")))
+    solved = tops.unionByName(sort_join(stuck, ptr.where("stop").select("node"), "node", "left_semi").select("node", F.col("loop").alias("root_id"), F.lit(None).cast("long").alias("depth"), none.alias("path")))
     while True:
-        met = live.join(solved.select(F.col("node").alias("to"), "root_id", "depth", "path"), "to", "left")
-        both = cut(met)
-        new = both.where("root_id is not null").select("node", "root_id", (F.col("depth") + F.col("hops")).alias("depth"), (F.concat("path", F.reverse("seg")) if with_paths else F.col("path")).alias("path"))
-        rest = both.where("root_id is null").select("node", "to", "hops", "seg")
-        if new.limit(1).count() == 0:
-            break
-        solved = cut(solved.unionByName(new))
-        if rest.limit(1).count() == 0:
-            rest = None
+        both = cut(sort_join(live, solved.select(F.col("node").alias("to"), "root_id", "depth", "path"), "to", "left"))
+        n = both.agg(F.count("root_id").alias("new"), F.count("*").alias("all")).first()
+        solved = solved.unionByName(both.where("root_id is not null").select("node", "root_id", (F.col("depth") + F.col("hops")).alias("depth"), (F.concat("path", F.reverse("seg")) if with_paths else F.col("path")).alias("path")))
+        rest = both.where("root_id is null").select("node", "to", "hops", "seg") if n["all"] > n["new"] else None
+        if rest is None or not n["new"]:
             break
         # Jumps double over what is still open; a jump to a solved node stays for the next round's join.
         other = rest.select(F.col("node").alias("to"), F.col("to").alias("t2"), F.col("hops").alias("h2"), F.col("seg").alias("s2"))
-        live = cut(rest.join(other, "to", "left").select("node", F.coalesce("t2", "to").alias("to"), (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"), F.when(F.col("s2").isNotNull(), F.concat("seg", "s2")).otherwise(F.col("seg")).alias("seg")))
+        live = sort_join(rest, other, "to", "left").select("node", F.coalesce("t2", "to").alias("to"), (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"), F.when(F.col("s2").isNotNull(), F.concat("seg", "s2")).otherwise(F.col("seg")).alias("seg"))
 
     loops = empty
-    if rest is not None and rest.limit(1).count():
+    if rest is not None:
         # Ways between splitters that never reach a root.
-        open_ = jump.join(rest.select("node"), "node", "left_semi").select("node", F.col("at").alias("next"), "low")
+        open_ = sort_join(jump, rest.select("node"), "node", "left_semi").select("node", F.col("at").alias("next"), "low")
         loops = _solve_loops(open_)
 
-    inner = ended.join(ptr.where("not stop").select("node"), "node", "left_semi")
-    below = inner.join(solved.select(F.col("node").alias("at"), "root_id", "depth", "path"), "at").select("node", "root_id", (F.col("depth") + F.col("hops")).alias("depth"), (F.concat("path", F.reverse("seg")) if with_paths else F.col("path")).alias("path"))
-    looped = loops.unionByName(inner.join(loops.select(F.col("node").alias("at"), "loop"), "at").select("node", "loop"))
-    looped = looped.unionByName(stuck.join(ptr.where("not stop").select("node"), "node", "left_semi"))
+    inner = sort_join(ended, ptr.where("not stop").select("node"), "node", "left_semi")
+    below = sort_join(inner, solved.select(F.col("node").alias("at"), "root_id", "depth", "path"), "at").select("node", "root_id", (F.col("depth") + F.col("hops")).alias("depth"), (F.concat("path", F.reverse("seg")) if with_paths else F.col("path")).alias("path"))
+    looped = loops.unionByName(sort_join(inner, loops.select(F.col("node").alias("at"), "loop"), "at").select("node", "loop"))
+    looped = looped.unionByName(sort_join(stuck, ptr.where("not stop").select("node"), "node", "left_semi"))
     out = solved.unionByName(below).unionByName(looped.select("node", F.col("loop").alias("root_id"), F.lit(-1).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path")))
     out = out.withColumn("depth", F.coalesce("depth", F.lit(-1).cast("long")))
     if not with_paths:
         return out.select(F.col("node").alias("node_id"), "root_id", "depth")
-    return out.join(ptr.select("node", F.col("parent").alias("parent_id")), "node").select(F.col("node").alias("node_id"), "root_id", "depth", "parent_id", "path")
+    return sort_join(out, ptr.select("node", F.col("parent").alias("parent_id")), "node").select(F.col("node").alias("node_id"), "root_id", "depth", "parent_id", "path")
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
@@ -171,4 +183,4 @@ def multiple_parents(links: DataFrame, child: str = "child", parent: str = "pare
     """(node_id, parent_id, followed) for each link of a node with several stated parents."""
     e = links.select(F.col(child).alias("node_id"), F.col(parent).alias("parent_id")).where("node_id is not null and parent_id is not null").distinct()
     many = e.groupBy("node_id").agg(F.count("*").alias("n"), F.min("parent_id").alias("least")).where("n > 1")
-    return e.join(many, "node_id").select("node_id", "parent_id", (F.col("parent_id") == F.col("least")).alias("followed"))
+    return sort_join(e, many, "node_id").select("node_id", "parent_id", (F.col("parent_id") == F.col("least")).alias("followed"))
