@@ -183,8 +183,6 @@ def learned_lexicon(docs: DataFrame) -> dict[str, tuple[float, ...]]:
     size = docs.agg(F.count("*").alias("all"), F.sum(positive.cast("long")).alias("pos"), F.sum((F.col("label") < 0.5).cast("long")).alias("neg"), *[F.sum(((F.col("label") < 0.5) & (F.col("fold") == k)).cast("long")).alias(f"q{k}") for k in range(FOLDS)], *[F.sum((positive & (F.col("fold") == k)).cast("long")).alias(f"p{k}") for k in range(FOLDS)]).first()
     held = {r["word"]: r for r in own.where(F.col("p") >= LEAST_WORD).orderBy(F.desc("p"), "word").limit(LEXICON_WORDS).collect()}
     often = lambda r: (r["p"] + 0.5) / (size["pos"] + 1) / ((r["q"] + 0.5) / (size["neg"] + 1))
-    # Pairs that stand in other labelled documents as often say nothing that their words don't.
-    held = {w: r for w, r in held.items() if " " not in w or often(r) > 2}
     hot = {w for w, r in held.items() if often(r) > 8}
     pairs: dict[str, set[str]] = {}
     for w in held:
@@ -376,7 +374,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sour
     train = unseen_x.select("doc_id", "fold", (F.col("label") > 0.5).cast("double").alias("y"), array_to_vector("x").alias("features"))
     train = train.withColumn("w", F.when(F.col("y") > 0.5, 0.5 / rate).otherwise(0.5 / (1 - rate)))
     train = cut(train.repartition(max(1, (n[True] + n[False]) // 20_000), "doc_id").sortWithinPartitions("doc_id", "y"))
-    gbt = GBTClassifier(featuresCol="features", labelCol="y", weightCol="w", maxIter=24, maxDepth=3, stepSize=0.2, subsamplingRate=0.8, minInstancesPerNode=3, seed=seed)
+    gbt = GBTClassifier(featuresCol="features", labelCol="y", weightCol="w", maxIter=30, maxDepth=4, stepSize=0.15, minInstancesPerNode=10, seed=seed)
     margin = lambda df: df.withColumn("margin", vector_to_array("rawPrediction")[1]).drop("prediction", "probability", "rawPrediction")
     # Each labelled document is calibrated on by the trees that haven't seen it.
     parts = [margin(gbt.fit(train.where(F.col("fold") != k)).transform(train.where(F.col("fold") == k))).select("doc_id", "fold", "y", "margin", F.lit(1.0).alias("one")) for k in range(FOLDS)]
