@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,6 +154,10 @@ def csv_entities(df: DataFrame, columns: dict[str, str], source: str | None = No
     return out.select(col("name").alias("name"), addresses.alias("addresses"), own.alias("data_source_id"), *rest, *maps, *[F.lit(v).alias(k) for k, v in (fixed or {}).items()])
 
 
+def _written_out(names: list[str]) -> Callable[[Column], Column]:
+    return lambda x: F.concat(*[F.concat(F.lit(f"{n}: "), F.coalesce(x[n].cast("string"), F.lit("")), F.lit("; ")) for n in names])
+
+
 def entity_tree(df: DataFrame, root: str, name: str = "name", lists: tuple[str, ...] = ("aliases", "citizenships", "identifications")) -> DataFrame:
     """df with ``tree``: (name, children) over its lists, each a node of that name with a node for each of its values.
 
@@ -162,7 +166,7 @@ def entity_tree(df: DataFrame, root: str, name: str = "name", lists: tuple[str,
     for c in lists:
         kind = df.schema[c].dataType.elementType
         if kind.typeName() == "struct":
-            label = lambda x, kind=kind: F.concat(*[F.concat(F.lit(f"{f}: "), F.coalesce(x[f].cast("string"), F.lit("")), F.lit("; ")) for f in kind.names])
+            label = _written_out(kind.names)
         else:
             label = lambda x: x.cast("string")
         leaf = F.transform(F.filter(F.col(f"`{c}`"), lambda x: x.isNotNull()), label)
