@@ -1,8 +1,9 @@
 """Free-entered values mapped to a canonical list.
 
 A multi-pattern automaton over canonical names and aliases finds those embedded in a value; the longest non-overlapping
-mention wins if nothing but decoration is left beside it. Values without one go to a token-set similarity that allows for
-typing errors, over candidates that share character pairs. Rows never move: the list (of a checked size) goes to them.
+mention wins if nothing but decoration is left beside it. Values without one go to a token-set similarity: words that both
+have cancel out, and the rest may differ by typing errors, also in where words are parted; over candidates that share
+character pairs. The list (of a checked size) goes to the rows, which aren't moved unless they come in too few splits.
 """
 
 from __future__ import annotations
@@ -35,6 +36,12 @@ PLACEHOLDERS = ["n/a", "n.a.", "none", "null", "unknown", "various", "-", "--",
 MAX_REFERENCE = 200_000
 
 
+def token_set_distance(a: list[str], b: list[str], most: int) -> int:
+    """How far two sets of words are apart: what both have doesn't count, the rest by its typing errors in sorted order; at most ``most`` + 1."""
+    left, right = sorted(set(a) - set(b)), sorted(set(b) - set(a))
+    return edits("".join(left), "".join(right), most)
+
+
 class Matcher:
     """Finds which entries of one kind a text means."""
 
@@ -121,7 +128,7 @@ class Matcher:
         return taken[0][2] if all(w in self.decoration for w in left.split()) else None
 
     def _similar(self, form: str) -> str | None:
-        """The one name nearest to the form by its set of words, within the typing errors its length allows."""
+        """The one name whose set of words is nearest to the form's, within the typing errors its length allows."""
         best: list[tuple[int, str]] = []
         kept = [w for w in form.split() if w not in self.decoration]
         for v in self._variants(" ".join(kept)) if kept else []:
@@ -151,7 +158,7 @@ class Matcher:
         for k, c in shared.items():
             if c < least or abs(len(self.compact[k]) - n) > most:
                 continue
-            d = edits(whole, k.replace(" ", ""), most)
+            d = min(token_set_distance(ws, k.split(), most), edits(whole, k.replace(" ", ""), most))
             if d > 0 and len(ws) > 1:
                 d = min(d, edits(by_set, self.compact[k], most))
             if d <= most and self._same_lead(ws, k.split(), d):
