@@ -7,6 +7,7 @@ inside the row, so that only keys are ever exploded.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,20 @@ from pyspark.sql import functions as F
 
 TOTALS = "__totals__"
 KEYWORDS = ("GROUPBY", "SUM", "MAXS", "MINS", "MAX", "MIN", "LIST", "FILTERBY")
+#: Aggregates that were added, by their keyword.
+EXTRA: dict[str, Callable[[Column], Column]] = {}
+
+
+def register(keyword: str, fold: Callable[[Column], Column]) -> None:
+    """Adds an aggregate to the multi-field language: ``KEYWORD field`` gives a column keyword_field.
+
+    ``fold`` makes an aggregate of a column that holds each row's values of the field, those that aren't blank, as an
+    array of texts. Built of Spark's own aggregates it is combined before the shuffle as they are; a Pandas UDF on groups
+    works too."""
+    word = keyword.upper()
+    if word in KEYWORDS or not re.fullmatch(r"[A-Z]\w*", word):
+        raise ValueError(f"{keyword} can't be a keyword")
+    EXTRA[word] = fold
 
 
 @dataclass(frozen=True)
@@ -28,6 +43,7 @@ class MultiField:
     min_texts: tuple[str, ...] = ()
     lists: tuple[str, ...] = ()
     filters: tuple[tuple[str, str], ...] = ()
+    extra: tuple[tuple[str, str], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -39,7 +55,7 @@ class SingleField:
 
 
 def parse_multi(line: str) -> MultiField:
-    parts = re.split(rf"\b({'|'.join(KEYWORDS)})\b", line, flags=re.I)
+    parts = re.split(rf"\b({'|'.join([*KEYWORDS, *EXTRA])})\b", line, flags=re.I)
     got: dict[str, list[str]] = {}
     for word, body in zip(parts[1::2], parts[2::2]):
         for name in re.split(r"\s*,\s*", body.strip().strip(",")):
@@ -49,7 +65,7 @@ def parse_multi(line: str) -> MultiField:
         raise ValueError(f"no aggregate in: {line}")
     pairs = tuple(tuple(x.split(":", 1)) for x in got.get("FILTERBY", []) if ":" in x)
     of = lambda k: tuple(got.get(k, ()))
-    return MultiField(of("GROUPBY"), of("SUM"), of("MAX"), of("MIN"), of("MAXS"), of("MINS"), of("LIST"), pairs)
+    return MultiField(of("GROUPBY"), of("SUM"), of("MAX"), of("MIN"), of("MAXS"), of("MINS"), of("LIST"), pairs, tuple((k, name) for k in EXTRA for name in of(k)))
 
 
 def parse_single(text: str) -> SingleField:
@@ -117,6 +133,7 @@ def aggregate_multi(df: DataFrame, plan: MultiField | str) -> DataFrame:
         *[F.array_max(_values(df, s)).alias(f"__maxs_{s}") for s in plan.max_texts],
         *[F.array_min(_values(df, s)).alias(f"__mins_{s}") for s in plan.min_texts],
         *[_values(df, s).alias(f"__list_{s}") for s in plan.lists],
+        *[_values(df, s).alias(f"__extra_{k}_{s}") for k, s in plan.extra],
     ]
     rows = df.select(*keys, *ready)
     aggs = [F.count("*").alias("cnt")]
@@ -126,6 +143,7 @@ def aggregate_multi(df: DataFrame, plan: MultiField | str) -> DataFrame:
     aggs += [F.max(f"__max_{s}").alias(f"max_{s}") for s in plan.maxes] + [F.min(f"__min_{s}").alias(f"min_{s}") for s in plan.mins]
     aggs += [F.max(f"__maxs_{s}").alias(f"maxs_{s}") for s in plan.max_texts] + [F.min(f"__mins_{s}").alias(f"mins_{s}") for s in plan.min_texts]
     aggs += [_listed(F.col(f"__list_{s}")).alias(f"list_{s}") for s in plan.lists]
+    aggs += [EXTRA[k](F.col(f"__extra_{k}_{s}")).alias(f"{k.lower()}_{s}") for k, s in plan.extra]
     return rows.groupBy(*(plan.group or ["g"])).agg(*aggs)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -17,8 +18,9 @@ from orrery.session import spread
 _STOP = re.compile(rf"(?<= )(?:{'|'.join(TAG_STOP_WORDS)})(?= )")
 
 
-def _tokens(text: str) -> list[str]:
-    return _STOP.sub("", re.sub(r"[^\w\s]|_", " ", text.lower())).split()
+@functools.lru_cache(100_000)
+def _tokens(text: str) -> tuple[str, ...]:
+    return tuple(_STOP.sub("", re.sub(r"[^\w\s]|_", " ", text.lower())).split())
 
 
 def walk(value: object, path: str = "") -> Iterator[str]:

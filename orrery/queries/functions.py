@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import codes, dates, hashing, lookup, text
-from orrery.operators import relational, search
+from orrery.operators import aggregate, relational, search
 from orrery.sources import readers, schema
 from orrery.sources.store import Store
 from orrery.session import checkpoint_dir, table
@@ -130,6 +130,13 @@ def json_content(spark, sf):
     return search.run_json(table(spark, sf, "part"), {"p_brand": ["Brand#13"], "_type_": "AND", "_filterFields_": ["p_partkey"], "_limit_": 200000}, search.Fields.of(table(spark, sf, "part"), {"p_brand": "string"}))
 
 
+@query("SELECT o_orderstatus, count(*) AS cnt, count(DISTINCT o_custkey) AS spread_o_custkey FROM orders GROUP BY 1")
+def aggregate_added(spark, sf):
+    """An aggregate that the language didn't have."""
+    aggregate.register("SPREAD", lambda values: F.count_distinct(F.get(values, F.lit(0))))
+    return aggregate.aggregate_multi(table(spark, sf, "orders"), "GROUPBY o_orderstatus SPREAD o_custkey")
+
+
 # Sources and sinks, written and read again
 
 
