@@ -57,6 +57,7 @@ class Parser:
         self.country = Remembered(self._country)
         self.regions = sorted({plain(r).strip() for r in regions if r and r.strip()}, key=len, reverse=True)
         self.short_regions = {r for r in self.regions if len(r) <= 3}
+        self.taken = self.lands.known_codes | self.short_regions
         names = [r for r in self.regions if len(r) > 3]
         self.region_re = re.compile(r"\b(?:" + "|".join(map(re.escape, names)) + r")\b") if names else None
         lands = sorted({" ".join(words(plain(r[2]))) for r in places if r[1] == "country"}, key=len, reverse=True)
@@ -135,7 +136,7 @@ class Parser:
     def _without_kind(self, tokens: list[str], code: str | None) -> tuple[int, int, int, int] | None:
         """(number, start, start of the name, its end): a short number with the word after or before it, whichever no separator
         parts from it, then a longer one right before a word. The name goes on to a separator, if a town is left then."""
-        taken = self.lands.known_codes | self.short_regions
+        taken = self.taken
         word = lambda k: 0 <= k < len(tokens) and bool(WORD.fullmatch(tokens[k])) and tokens[k] not in taken and not self._ordinal(tokens[k])
         long = [k for k, t in enumerate(tokens[:-1]) if code and re.fullmatch(r"\d{4,6}[a-z]?", t) and len(re.sub(r"\D", "", t)) != len(code) and tokens[k + 1][0].isalpha() and (not k or tokens[k - 1] != "box")]
         short = [k for k, t in enumerate(tokens) if re.fullmatch(r"\d{1,3}[a-z]?(?:-\d{1,3}[a-z]?)?", t)]
