@@ -14,7 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.functions.text import tokens
 from orrery.operators.search import B, K1
 from orrery.plans.ast import Fields, Group, Leaf, compile_leaf, fuzzy, phrase_words, within_slop
 from orrery.plans.ast import wild as wild_pattern

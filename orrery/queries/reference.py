@@ -11,7 +11,7 @@ from orrery.functions import codes, dates, lookup, text
 from orrery.operators import aggregate, relational, search, tags
 from orrery.operators.index import TextIndex, index_of
 from orrery.plans.ast import Fields
-from orrery.plans.languages import parse_assignment, parse_field_query, parse_json_query, parse_prefix
+from orrery.plans.languages import parse_assignment, parse_field_query, parse_prefix
 from orrery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -7,7 +7,6 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, app: str = "orrery", memory: str = "12g") -> SparkSession:
