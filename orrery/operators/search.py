@@ -192,21 +192,25 @@ def envelope(rows: DataFrame, total: int) -> dict:
     return {"data": [r[0] for r in rows.toLocalIterator()], "count": str(total), "status": "OK"}
 
 
-def run(df: DataFrame, request: Request | str, fields: Fields | None = None, tie: str | None = None, cursor: tuple | None = None) -> DataFrame:
+def run(df: DataFrame, request: Request | str, fields: Fields | None = None, tie: str | None = None, cursor: tuple | None = None, index=None) -> DataFrame:
     """The answer to a compound query: aggregates, a count, or the rows in order, limited, projected and rendered.
 
-    Rows are ordered by ``sort`` or by relevance, ties by the column ``tie`` (the first one if none is named)."""
+    Rows are ordered by ``sort`` or by relevance, ties by the column ``tie`` (the first one if none is named). With an
+    ``index`` (a TextIndex of the table) they are found and ranked by it; df then needs no column that is only searched."""
     r = parse_request(request) if isinstance(request, str) else request
     fields, tie = fields or Fields.of(df), tie or df.columns[0]
+    find = (lambda: index.search(df, r.query)) if index is not None else (lambda: search(df, r.query, fields))
     if r.multi or r.chain:
-        hits = search(df, r.query, fields)
+        hits = find()
         return aggregate.aggregate_multi(hits, r.multi) if r.multi else aggregate.aggregate_chain(hits, list(r.chain))
     if r.count:
-        return search(df, r.query, fields).agg(F.count("*").alias("count"))
+        return find().agg(F.count("*").alias("count"))
     if r.query is None:
         hits = df.where(F.lit(False))
     elif r.sort:
-        hits = search(df, r.query, fields)
+        hits = find()
+    elif index is not None:
+        hits = df.join(index.bm25(r.query).withColumnRenamed("id", index.id_col), index.id_col)
     else:
         hits = bm25(df, r.query, fields)
     if r.paginate and r.sort:

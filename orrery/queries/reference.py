@@ -106,6 +106,12 @@ def bm25_topk(spark, sf):
     return top.select(F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
+@query(SQL["bm25_topk"].replace("SELECT doc_id, round(score, 4) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 50", "SELECT doc_id, lang FROM s JOIN documents USING (doc_id) ORDER BY s.score DESC, doc_id LIMIT 50"))
+def indexed_request(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    return search.run(docs, "(* text:harbour text:court)\nlimit=50\ncollector=json\nfilter_fields=doc_id,lang", index=documents_index(spark, sf))
+
+
 @query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority NULLS FIRST, o_totalprice NULLS FIRST, o_orderkey LIMIT 100")
 def sort_multi(spark, sf):
     df = table(spark, sf, "orders")
