@@ -374,7 +374,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sour
     train = unseen_x.select("doc_id", "fold", (F.col("label") > 0.5).cast("double").alias("y"), array_to_vector("x").alias("features"))
     train = train.withColumn("w", F.when(F.col("y") > 0.5, 0.5 / rate).otherwise(0.5 / (1 - rate)))
     train = cut(train.repartition(max(1, (n[True] + n[False]) // 20_000), "doc_id").sortWithinPartitions("doc_id", "y"))
-    gbt = GBTClassifier(featuresCol="features", labelCol="y", weightCol="w", maxIter=30, maxDepth=4, stepSize=0.15, minInstancesPerNode=10, seed=seed)
+    gbt = GBTClassifier(featuresCol="features", labelCol="y", weightCol="w", maxIter=20, maxDepth=4, stepSize=0.2, minInstancesPerNode=10, seed=seed)
     margin = lambda df: df.withColumn("margin", vector_to_array("rawPrediction")[1]).drop("prediction", "probability", "rawPrediction")
     # Each labelled document is calibrated on by the trees that haven't seen it.
     parts = [margin(gbt.fit(train.where(F.col("fold") != k)).transform(train.where(F.col("fold") == k))).select("doc_id", "fold", "y", "margin", F.lit(1.0).alias("one")) for k in range(FOLDS)]
