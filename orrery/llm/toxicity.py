@@ -2,7 +2,8 @@
 
 Gradient-boosted trees over dense features of whole texts: densities of lexicons, nearness of a second person, capitals,
 punctuation and obfuscated words. The lexicons are four of fixed stems and one that is learned: words of the labelled
-positives, weighed by how much more often those hold them than all documents do, less the words that speak against. Each
+positives, weighed by how much more often those hold them than all documents do, less the words that speak against. A hot
+word that stands in a sentence of many documents, hardly any of which are labelled positive, is cleared there. Each
 labelled document's features come from a lexicon learned without the documents of its own fold, and scores are calibrated
 by isotonic regression on trees that haven't seen that fold either.
 """
@@ -44,9 +45,8 @@ SEXUAL = (
     "lecken brust seins pechos sexe sexo ficken follar baiser geil chaud caliente bett lit cama nue desnuda haut piel peau sauvage wild xxx scharf cuerpo corps korper"
 ).split()
 NEUTRAL = (
-    "tribunal complaint harassment clinic cancer screening register exhibition museum contract court fined counsel health contraception advice surgery statistics species process engineer report "
-    "belastigung klage wurde gericht klinik harcelement plainte transmise acoso denuncia admitida clinica entrepot almacen lagerhaus kennel slaughterhouse pups warehouse store grain "
-    "nose knee elbow wound injury injured accident slipped ladder fell hospital doctor patient treatment"
+    "tribunal complaint harassment clinic cancer screening register contract court fined counsel health contraception advice surgery statistics species process engineer report "
+    "belastigung klage wurde gericht klinik harcelement plainte transmise acoso denuncia admitida clinica wound injury injured accident hospital doctor patient treatment"
 ).split()
 SECOND = "you your yours yourself u du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre tus ti usted vosotros".split()
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "(": "c", "|": "l", "+": "t", "€": "e"})
@@ -59,11 +59,14 @@ LEAST_LABELLED = 8
 LEAST_WORD, LEAST_BESIDE = 3, 5
 #: The learned lexicon has at most so many words for, those of most positives, and as many against, those of most documents.
 LEXICON_WORDS = 50_000
+#: The least purity, which a text without a hot word has as well: wrong labels of a few harmless uses can't set those apart from it.
+CLEARED = -2.0
 FOLDS = 4
 #: Words of a sentence that are looked at together; a longer one is cut.
 WINDOW = 40
 FEATURES = [
     "insult", "threat", "hate", "sexual", "most_insult", "most_threat", "most_hate", "most_sexual", "learned", "most_learned", "second_learned", "third_learned", "learned_share", "learned_at_lexicon", "most_contrast", "contrast_there", "least_there",
+    "strongest", "third_strongest", "most_mean", "mean_there", "purest", "pure_there",
     "near_second", "second_person", "neutral", "capitals", "shouting", "marks", "marks_near", "obfuscated", "repeated", "length",
 ]
 WORD = re.compile(r"[^\W_]+", re.UNICODE)
@@ -157,9 +160,12 @@ def doc_words(text: str) -> set[str]:
     return out
 
 
-def learned_lexicon(docs: DataFrame) -> dict[str, tuple[float, ...]]:
+def learned_lexicon(docs: DataFrame) -> tuple[dict[str, tuple[float, ...]], float]:
     """The weights of words and of pairs of neighbours, without each fold and, last, of all folds; then, likewise, the
-    contrasts of words: the log of their share of the labelled positives over that of the other labelled documents.
+    contrasts of words: the log of their share of the labelled positives over that of the other labelled documents; then the
+    purities of words beside hot ones and of pairs with a hot one: the log of how many labelled positives hold them over
+    how many would if they stood in positives alone, from CLEARED to 0. Beside them, how many times as likely a positive
+    is to be labelled as another document.
 
     docs: (text, label, fold) of every document, label null where there is none. A weight is the log odds of a word's
     share of the labelled positives against that of all documents, whose counts cover all of them. Words beside hot ones
@@ -205,8 +211,9 @@ def learned_lexicon(docs: DataFrame) -> dict[str, tuple[float, ...]]:
                     seen |= here & single
                     if not here.isdisjoint(firsts):
                         seen.update(f"{a} {b}" for a, b in zip(ws, ws[1:]) if a in firsts and b in pairs_[a])
-                    if not here.isdisjoint(hot_) or listed_in(here):
+                    if own := listed_in(here) | (here & hot_):
                         beside |= here
+                        beside.update(f"{a} {b}" for a, b in zip(ws, ws[1:]) if a in own or b in own)
                 for w in seen:
                     counts[w] = counts.get(w, 0) + 1
                 for w in beside:
@@ -225,7 +232,7 @@ def learned_lexicon(docs: DataFrame) -> dict[str, tuple[float, ...]]:
 
     # Single words of either label, for the contrast of the labelled documents alone.
     judged = {r["word"]: r for r in own.where((F.col("p") + F.col("q") >= LEAST_BESIDE) & ~F.col("word").contains(" ")).orderBy(F.desc(F.col("p") + F.col("q")), "word").limit(LEXICON_WORDS).collect()}
-    weights: dict[str, list[float]] = {w: [0.0] * (2 * FOLDS + 2) for w in held.keys() | near_of.keys() | judged.keys()}
+    weights: dict[str, list[float]] = {w: [0.0] * (3 * FOLDS + 3) for w in held.keys() | near_of.keys() | judged.keys()}
     for k in range(FOLDS + 1):
         n_pos = size["pos"] - (size[f"p{k}"] if k < FOLDS else 0)
         part = rate * n_pos / max(1, size["pos"])
@@ -238,11 +245,13 @@ def learned_lexicon(docs: DataFrame) -> dict[str, tuple[float, ...]]:
         for w, r in near_of.items():
             if not weights[w][k] and (x := log_odds(seen(r), r["beside"])) < 0:
                 weights[w][k] = x
+            weights[w][2 * FOLDS + 2 + k] = max(CLEARED, min(0.0, math.log((seen(r) + 1) / (part * r["beside"] + 1))))
         n_neg = size["neg"] - (size[f"q{k}"] if k < FOLDS else 0)
         for w, r in judged.items():
             q = r["q"] - (r[f"q{k}"] if k < FOLDS else 0)
             weights[w][FOLDS + 1 + k] = math.log((seen(r) + 1) / (n_pos + 2)) - math.log((q + 1) / (n_neg + 2))
-    return {w: tuple(x) for w, x in weights.items() if any(x)}
+    others = size["neg"] / max(size["neg"], size["all"] - size["pos"] / rate)
+    return {w: tuple(x) for w, x in weights.items() if any(x)}, max(1.0, rate / others) if telling else 1.0
 
 
 def _shares(text: str) -> tuple[float, float]:
@@ -263,9 +272,23 @@ class Lexicon:
         self.weight = {w: x[fold] for w, x in weights.items() if x[fold]}
         self.contrast = {w: x[FOLDS + 1 + fold] for w, x in weights.items() if x[FOLDS + 1 + fold]}
         self.telling = {w for w, x in self.weight.items() if x >= self.TELLING and " " not in w}
+        self.purity = {w: x[2 * FOLDS + 2 + fold] for w, x in weights.items() if x[2 * FOLDS + 2 + fold]}
         self.words = self.weight.keys()
         self.contrasted = self.contrast.keys()
 
+    def purity_of(self, ws: list[str], hot: set[str]) -> float:
+        """The purity of the hot word of a window that is least cleared by what is known of it and of its pairs with its neighbours; 0 where nothing is known."""
+        most = CLEARED
+        for i, w in enumerate(ws):
+            if w in hot:
+                least = self.purity.get(w, 0.0)
+                if i:
+                    least = min(least, self.purity.get(f"{ws[i - 1]} {w}", 0.0))
+                if i + 1 < len(ws):
+                    least = min(least, self.purity.get(f"{w} {ws[i + 1]}", 0.0))
+                most = max(most, least)
+        return most
+
 
 def features_of(text: str | None, lexicon: Lexicon) -> list[float]:
     """The values of FEATURES; zeros for a null or blank text. All are rates, shares or values of one window, and none grows with the text.
@@ -275,7 +298,8 @@ def features_of(text: str | None, lexicon: Lexicon) -> list[float]:
         return [0.0] * len(FEATURES)
     total, most, scores, n, near, second, calm_all = [0.0] * 4, [0.0] * 4, [0.0] * 3, 0, 0.0, 0, 0
     hot, shout, marks, runs, at_lexicon = 0, 0, 0, 0, -5.0
-    best, most_contrast = (0.0, -5.0, -5.0), -20.0
+    best, most_contrast = (0.0, -5.0, -5.0, 0.0, CLEARED), -20.0
+    strongest, third, most_mean, purest = 0.0, 0.0, 0.0, CLEARED
     pieces, odd = windows(text)
     for s, ws, here in pieces:
         n += len(ws)
@@ -286,11 +310,20 @@ def features_of(text: str | None, lexicon: Lexicon) -> list[float]:
             continue
         listed = [(i, kinds(w)[0]) for i, w in enumerate(ws) if w in own]
         weighed, weight = here & lexicon.words, lexicon.weight
+        pure = lexicon.purity_of(ws, own | (here & lexicon.telling))
+        purest = max(purest, pure)
         score = sum(weight[w] for w in ws if w in weighed)
-        score += 0.5 * sum(weight[p] for p in (f"{a} {b}" for a, b in zip(ws, ws[1:]) if a in weighed or b in weighed) if p in lexicon.words)
+        pairs = [weight[p] for p in (f"{a} {b}" for a, b in zip(ws, ws[1:]) if a in weighed or b in weighed) if p in lexicon.words]
+        score += 0.5 * sum(pairs)
+        # Sums grow with the length of a sentence; the strongest and the mean don't.
+        ranked = sorted([*(weight[w] for w in weighed), *pairs], reverse=True)
+        mean = sum(ranked) / max(1, len(ranked))
+        strongest = max(strongest, *ranked[:1], 0.0)
+        third = max(third, *ranked[2:3], 0.0)
+        most_mean = max(most_mean, mean)
         apart = sorted(lexicon.contrast[w] for w in here & lexicon.contrasted)
         scores.append(score)
-        best = max(best, (score, sum(apart), sum(apart[:3])))
+        best = max(best, (score, sum(apart), sum(apart[:3]), mean, pure))
         most_contrast = max(most_contrast, sum(apart))
         calm = sum(kinds(w)[2] for w in ws)
         calm_all += calm
@@ -313,7 +346,8 @@ def features_of(text: str | None, lexicon: Lexicon) -> list[float]:
     capitals, all_marks = _shares(text)
     n, hot_ = max(1, n), max(1, hot)
     return [
-        *(100 * x / n for x in total), *most, 100 * sum(x for x in scores if x > 0) / n, top[0], top[1], top[2], sum(x > 3 for x in scores) / max(1, len(pieces)), at_lexicon, most_contrast, *best[1:],
+        *(100 * x / n for x in total), *most, 100 * sum(x for x in scores if x > 0) / n, top[0], top[1], top[2], sum(x > 3 for x in scores) / max(1, len(pieces)), at_lexicon, most_contrast, *best[1:3],
+        strongest, third, most_mean, best[3], purest, best[4],
         near, 100 * second / n, 100 * calm_all / n, capitals, shout / hot_, 100 * all_marks, marks / hot_, 100 * odd / n, runs / hot_, math.log1p(n),
     ]
 
@@ -367,7 +401,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sour
         z = 1.2 * (x["most_insult"] + x["most_sexual"]) + 0.8 * x["most_hate"] + 0.5 * x["most_threat"] + 2.0 * x["near_second"] - 2.0
         rated = featurize(base, "doc_id", "text", {}, ["source"])
         return {"scores": rated.select("doc_id", "source", F.when(blank, 0.0).otherwise(1 / (1 + F.exp(-z))).alias("score"))}
-    weights = learned_lexicon(both.select("text", "label", "fold"))
+    weights, richer = learned_lexicon(both.select("text", "label", "fold"))
     # Labelled documents are fitted on by what the lexicon says without their folds, and scored like all others.
     unseen_x = featurize(both.where("label is not null"), "doc_id", "text", weights, ["label", "fold"], "fold").where(~blank)
     rate = n[True] / (n[True] + n[False])
@@ -383,8 +417,11 @@ def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sour
         unseen = unseen.unionByName(part)
     unseen = cut(unseen)
     isotonic = IsotonicRegression(featuresCol="margin", labelCol="y", weightCol="one")
+    # The labelled sample is richer in positives than the corpus. The odds are lessened by the root of how much richer: scores
+    # out of the fold are of a lexicon and trees that know less than the last ones, and wrong labels lower them besides.
+    likely = F.col("prediction") / (F.col("prediction") + (1 - F.col("prediction")) * math.sqrt(richer))
     # The margin orders what the calibration ties.
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.999 * F.col("prediction") + 0.001 / (1 + F.exp(-2 * F.col("margin")))))
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.999 * likely + 0.001 / (1 + F.exp(-2 * F.col("margin")))))
 
     def without_fold(k: int) -> DataFrame:
         return isotonic.fit(unseen.where(F.col("fold") != k)).transform(unseen.where(F.col("fold") == k)).select("doc_id", "y", score.alias("score"))
