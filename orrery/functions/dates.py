@@ -17,9 +17,36 @@ DATE_TYPES = ["DOB", "DOD", "INCORPORATED", "DISSOLVED"]
 MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
 
 
+# All formats above in figures of a fixed place but the one that runs them all together, for years of four figures; no text
+# fits two. The groups as a cast reads them; of any other text only the signs remain, which is no timestamp.
+_Y, _D, _HM, _HMS = r"(\d{4})", r"(\d\d)", r"(\d\d:\d\d(?::\d\d)?)", r"(\d\d:\d\d:\d\d)"
+_PLAIN = rf"^(?:{_Y}-{_D}-{_D}(?: {_HM}|[Tt]{_HMS})?|{_Y}/{_D}/{_D}(?: {_HMS})?|{_D}/{_D}/{_Y}(?: {_HM})?|{_Y}{_D}{_D}(?: {_HM})?|(?s:.*))\z"
+_ISO = "$1$6$12$14-$2$7$10$15-$3$8$11$16 $4$5$9$13$17"
+# The others: what a text must have to be one of them.
+_SIGNED, _TOGETHER, _NAMED = r"(?:^|[/-])[+-]\d{4}", r"^\d{14}$", r"^\d\d-\D+-\d{4}$"
+
+
+def _tried(c: Column, formats: list[str]) -> Column:
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
+
+
 def parse_date(c: Column, formats: list[str] | None = None) -> Column:
-    """The timestamp of the first format that fits the whole text; null where none does."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats or FORMATS + MORE_FORMATS])
+    """The timestamp of the first format that fits the whole text; null where none does.
+
+    A format that doesn't fit costs an exception a row, so that the usual ones are told apart by their shape first. The
+    lambda holds the text once, and keeps the generated code small enough to be compiled, for many columns too."""
+    if formats:
+        return _tried(c, formats)
+
+    def one(x: Column) -> Column:
+        return F.coalesce(
+            F.regexp_replace(x, _PLAIN, _ISO).try_cast("timestamp"),
+            F.when(x.rlike(_TOGETHER), _tried(x, ["yyyyMMddHHmmss"])),
+            F.when(x.rlike(_NAMED), _tried(x, ["dd-MMM-yyyy"])),
+            F.when(x.rlike(_SIGNED), _tried(x, FORMATS + MORE_FORMATS)),
+        )
+
+    return F.transform(F.array(c), one)[0]
 
 
 def format_date(c: Column, pattern: str) -> Column:
